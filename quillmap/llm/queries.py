@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import quality_rules, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,49 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.applied(book, policy).select(
         "doc_id", *[f"m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed.alias("base_failed"), "kept", "fail_bits"
     )
+
+
+# --------------------------------------------------------------------------- 9
+
+
+def _op9_sql() -> str:
+    """Pieces between matches and matches alternate; ends are running sums."""
+
+    def kind(k: int, rule: secret_scan.Rule) -> str:
+        p = rule.pattern.replace("'", "''")
+        return f"""
+SELECT r, {k} AS k, '{rule.kind}' AS kind, ends[i] - length(m[i]) AS s, ends[i] AS e FROM (
+  SELECT r, m, g, list_transform(range(1, len(m) + 1), lambda j: list_sum(list_transform(p[1:j], lambda x: length(x))) + list_sum(list_transform(m[1:j], lambda x: length(x)))) AS ends, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT r, regexp_extract_all(text, '{p}', 0) AS m, regexp_extract_all(text, '{p}', {rule.group}) AS g, string_split_regex(text, '{p}') AS p FROM t)
+  WHERE len(m) > 0
+) WHERE length(g[i]) >= {rule.at_least}"""
+
+    spans = "\nUNION ALL".join(kind(k, r) for k, r in enumerate(secret_scan.RULES))
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({spans}),
+told AS (
+  SELECT r, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c,
+         coalesce(string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, k) FILTER (k < 3), '') AS base,
+         string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, k) AS spans
+  FROM found GROUP BY r
+)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN told USING (r)
+"""
+
+
+@query("op9_secret_scan", _op9_sql())
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' secrets, by way of a ledger that starts empty."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.with_findings(docs, secret_scan.scanned(docs))
+    n = len(secret_scan.BASE_RULES)
+    count = lambda k: F.size(F.filter("secrets", lambda x: x["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{r.kind}") for k, r in enumerate(secret_scan.BASE_RULES)],
+        F.sha2(secret_scan.listed(F.filter("secrets", lambda x: x["kind"] < n)).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("secrets")).alias("spans"),
+    )
