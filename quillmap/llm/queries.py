@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, secret_scan
+from . import mixing, quality_rules, secret_scan, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,3 +134,25 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     mix = mixing.mixed(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
+
+
+# -------------------------------------------------------------------------- 10
+
+_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+OP10_SQL = f"""
+WITH t AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM t GROUP BY html),
+d AS (SELECT page_id, first, strlen(html) AS n, sha1(html) AS h FROM t JOIN f USING (html))
+SELECT page_id, n::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(4), lambda g: list_aggregate(list_transform(range(8), lambda k:
+         substr('{_DIGITS}', 1 + ((('0x' || substr(h, 1 + 10 * g, 10))::BIGINT >> (35 - 5 * k)) & 31)::INT, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM d
+"""
+
+
+@query("op10_warc", OP10_SQL)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through the archives and back."""
+    return warc.archived_pages(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
