@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, secret_scan, warc
+from . import mixing, quality_rules, secret_scan, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +156,23 @@ FROM d
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through the archives and back."""
     return warc.archived_pages(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# --------------------------------------------------------------------------- 5
+
+_RULES = ", ".join(f"('{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', '{v}')" for r, v in url_filter.RULES)
+OP5_SQL = rf"""
+WITH rules(rule, h, p, v) AS (VALUES {_RULES}),
+t AS (SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url FROM pages),
+u AS (SELECT r, page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM t),
+m AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v
+      FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(v, '{url_filter.DEFAULT}') AS verdict FROM u LEFT JOIN m USING (r)
+"""
+
+
+@query("op5_url_filter", OP5_SQL)
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    return url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
