@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality_rules, secret_scan, simhash, url_filter, warc
+from . import decontamination, mixing, quality_rules, resampling, secret_scan, simhash, toxicity, url_filter, warc
+from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -195,3 +196,25 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# --------------------------------------------------------------------------- 3
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; a quarter of the rows is held out of training."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    held_out = fold(4, F.col("doc_id")) == 2
+    return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+# --------------------------------------------------------------------------- 6
+
+
+@query("op6_quality_resampling")
+def op6_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' weights toward those labelled good, and which are kept."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return resampling.resampled(table(spark, sf_dir, "documents").select("doc_id", "text"), good)
