@@ -25,12 +25,15 @@ from .common import fold, joined_small
 #: ASCII that is no letter or digit separates tokens.
 CLEAN = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(128)) + bytes(range(128, 256))
 #: What a token outside the lexicon adds.
-COST = -0.1
-#: The prior: so many tokens spread as in all labelled texts, and this for each.
-PRIOR, FLOOR = 500.0, 0.5
-#: Standard deviations from even odds that put a token in the lexicon.
-STANDS_OUT = 3.5
+COST = -0.02
+#: Texts of the prior, toxic and other as all labelled texts are: they draw the
+#: log-odds of features in few texts to even.
+PRIOR = 3.0
+#: Log-odds that put a feature in the lexicon.
+STANDS_OUT = 2.5
 MOST_ODDS = 8.0
+#: A word's beginnings of so many bytes are features too: stems take endings.
+STEMS = (4, 5, 6)
 #: A passage is significant if chance makes fewer than this many in its text.
 CHANCE = 0.01
 #: Bins of evidence for the calibration.
@@ -45,6 +48,28 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().translate(CLEAN).split()
 
 
+def features(words: set[bytes]) -> set[bytes]:
+    """Words and, with a star, the beginnings of longer words."""
+    out = set(words)
+    for n in STEMS:
+        out.update(w[:n] + b"*" for w in words if len(w) > n)
+    return out
+
+
+class Scores(dict):
+    """Token scores, looked up in the lexicon once and remembered."""
+
+    def __init__(self, odds: dict[bytes, float]):
+        super().__init__()
+        self.odds = odds
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) > HELD:
+            self.clear()
+        self[word] = score = max(self.odds.get(f, 0.0) for f in features({word}))
+        return score
+
+
 def segments(hits: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
     """(first, last, score) of all maximal scoring segments.
 
@@ -81,11 +106,13 @@ class Model:
     intercept: float = -4.0
     slope: float = 1.0
 
+    def __post_init__(self):
+        self.scores = Scores(self.odds)
+
     def passages(self, text: str | None) -> tuple[list[tuple[int, int, float, float]], float]:
         """Significant passages (first and last token, score, expected by chance) and the evidence."""
         t = tokens(text)
-        get = self.odds.get
-        hits = [(i, s) for i, s in enumerate(map(get, t)) if s]
+        hits = [(i, s) for i, s in enumerate(map(self.scores.__getitem__, t)) if s]
         if not hits:
             return [], 0.0
         out, evidence = [], 0.0
@@ -101,7 +128,11 @@ class Model:
 
 
 def counted(labelled: DataFrame) -> DataFrame:
-    """(word, toxic, other): how often labelled texts have each token."""
+    """(word, toxic, other): how many labelled texts have each feature.
+
+    Texts are counted and not tokens, so that one text that repeats itself says
+    no more than another. The empty feature is in every text.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Counter(), Counter()
@@ -115,7 +146,7 @@ def counted(labelled: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[toxic].update(tokens(text))
+                held[toxic].update(features({b"", *tokens(text)}))
                 if len(held[0]) + len(held[1]) > HELD:
                     yield told()
         yield told()
@@ -124,57 +155,66 @@ def counted(labelled: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def lexicon(counts: DataFrame) -> tuple[dict[bytes, float], dict[bytes, float]]:
-    """Log-odds of the tokens that stand out, and their share of other texts."""
-    n1, n0 = (x or 0 for x in counts.agg(F.sum("toxic"), F.sum("other")).first())
+def lexicon(counts: DataFrame) -> dict[bytes, float]:
+    """Log-odds of the features that stand out in toxic texts."""
+    texts = counts.filter(F.octet_length("word") == 0).first()
+    n1, n0 = (texts["toxic"], texts["other"]) if texts else (0, 0)
     if not n1 or not n0:
-        return {}, {}
-    prior = FLOOR + PRIOR * (F.col("toxic") + F.col("other")) / float(n1 + n0)
-    total1, total0 = (float(n) + PRIOR for n in (n1, n0))
-    y1, y0 = F.col("toxic") + prior, F.col("other") + prior
-    odds = F.log(y1 / (total1 - y1)) - F.log(y0 / (total0 - y0))
-    rows = counts.filter("toxic > 1").select("word", odds.alias("odds"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z"), (y0 / total0).alias("share"))
-    rows = rows.filter((F.col("z") >= STANDS_OUT) & (F.col("odds") > 0)).orderBy(F.desc("z"), "word").limit(LEXICON).collect()
-    return {bytes(r["word"]): min(MOST_ODDS, r["odds"]) for r in rows}, {bytes(r["word"]): r["share"] for r in rows}
-
-
-def decay(odds: dict[bytes, float], share: dict[bytes, float]) -> float:
-    """The positive root of E[exp(rate * score)] = 1 over a clean text's tokens."""
-    rest = max(1e-9, 1 - sum(share.values()))
-    moment = lambda r: rest * math.exp(r * COST) + sum(q * math.exp(r * odds[w]) for w, q in share.items()) - 1
+        return {}
+    a1, a0 = PRIOR * n1 / (n1 + n0), PRIOR * n0 / (n1 + n0)
+    odds = F.log((F.col("toxic") + a1) / (F.col("other") + a0)) - math.log((n1 + PRIOR) / (n0 + PRIOR))
+    rows = counts.filter((F.col("toxic") > 1) & (F.octet_length("word") > 0)).select("word", odds.alias("odds"))
+    rows = rows.filter(F.col("odds") >= STANDS_OUT).orderBy(F.desc("odds"), "word").limit(LEXICON).collect()
+    return {bytes(r["word"]): min(MOST_ODDS, r["odds"]) for r in rows}
+
+
+def decay(moments: list[tuple[float, int]], tokens: int) -> float:
+    """The positive root of E[exp(rate * score)] = 1 over clean texts' tokens.
+
+    ``moments``: (score, tokens with it) of the lexicon's tokens in clean texts.
+    """
+    hit = sum(n for _, n in moments)
+    rest = max(0, tokens - hit) + 1
+
+    def moment(r: float) -> float:
+        return (rest * math.exp(r * COST) + sum(n * math.exp(r * s) for s, n in moments)) / (rest + hit) - 1
+
     low, high = 0.0, 1e-3
-    while moment(high) < 0 and high < 50:
+    while moment(high) < 0 and high < 2:
         low, high = high, high * 2
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (middle, high) if moment(middle) < 0 else (low, middle)
-    return max(high, 1e-2)
+    return min(1.0, max(high, 0.05))
 
 
-def binned(labelled: DataFrame, model: Model) -> list:
-    """Per class and bin of evidence: texts, their tokens, those with any hit."""
-    schema = "toxic int, bin int, n long, n_tokens long, n_hit long"
+def measured(labelled: DataFrame, model: Model) -> tuple[list, list]:
+    """Texts by class and bin of evidence; clean texts' tokens by score.
+
+    Both are histograms of a fixed number of cells.
+    """
+    schema = "kind int, toxic int, bin int, n long"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], list[int]] = {}
+        sums: Counter = Counter()
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, evidence = model.passages(text)
-                t = tokens(text)
-                s = sums.setdefault((toxic, min(BINS - 1, int(evidence / BIN))), [0, 0, 0])
-                s[0] += 1
-                s[1] += len(t)
-                s[2] += any(w in model.odds for w in t)
-        rows = [(*k, *v) for k, v in sums.items()]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(5)], [x.split()[0] for x in schema.split(", ")])
+                sums[0, toxic, min(BINS - 1, math.ceil(evidence / BIN))] += 1
+                if not toxic:
+                    for s in map(model.scores.__getitem__, tokens(text)):
+                        sums[1, 0, round(s * 16)] += 1
+        rows = [(*k, n) for k, n in sums.items()]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(4)], ["kind", "toxic", "bin", "n"])
 
-    return labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(measure, schema).groupBy("toxic", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "n_tokens", "n_hit")]).collect()
+    rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(measure, schema).groupBy("kind", "toxic", "bin").agg(F.sum("n").alias("n")).collect()
+    return [r for r in rows if r["kind"] == 0], [r for r in rows if r["kind"] == 1]
 
 
 def curve(bins: list) -> tuple[float, float]:
     """Intercept and slope of the logistic curve, with a weak prior on both."""
-    x = np.array([(r["bin"] + 0.5) * BIN if r["bin"] else 0.0 for r in bins])
+    x = np.array([max(0.0, r["bin"] - 0.5) * BIN for r in bins])
     y, w = np.array([float(r["toxic"]) for r in bins]), np.array([float(r["n"]) for r in bins])
     a, b = -3.0, 1.0
     for _ in range(50):
@@ -200,15 +240,15 @@ def fitted(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2
     known = known.filter(fold(folds, F.col("doc_id")) != held_out)
     rows = docs.select("doc_id", "text").filter(fold(folds, F.col("doc_id")) != held_out)
     labelled = joined_small(rows, known, "doc_id", max_rows=1_000_000)
-    odds, share = lexicon(counted(labelled).persist())
-    model = Model(odds)
-    if odds:
-        model.rate = decay(odds, share)
-        # As many clean texts get a segment as the statistics expect of them.
-        clean = [r for r in binned(labelled, model) if not r["toxic"]]
-        least = min(odds.values())
-        model.scale = (sum(r["n_hit"] for r in clean) + 0.5) / (sum(r["n_tokens"] for r in clean) + 1) * math.exp(model.rate * least)
-    model.intercept, model.slope = curve(binned(labelled, model))
+    model = Model(lexicon(counted(labelled).persist()))
+    if model.odds:
+        cells = measured(labelled, model)[1]
+        hits = [(r["bin"] / 16, r["n"]) for r in cells if r["bin"] > 0]
+        n = sum(r["n"] for r in cells)
+        model.rate = decay(hits, n)
+        # So that as many single tokens of clean texts reach a score as chance makes.
+        model.scale = max([k * math.exp(model.rate * s) for s, k in hits] + [math.exp(model.rate * STANDS_OUT)]) / (n + 1)
+    model.intercept, model.slope = curve(measured(labelled, model)[0])
     return model
 
 
