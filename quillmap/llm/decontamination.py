@@ -219,3 +219,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_
     for part in made:
         last = last.unionByName(part)
     return last
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` without a leak, with all their columns.
+
+    A filter in place: no row moves, whatever the ids. A benchmark of several
+    blocks makes as many passes, each over what the one before left.
+    """
+    spark = docs.sparkSession
+    schema, place = docs.schema, docs.columns.index(text)
+
+    def passed(rows: DataFrame, items: list[tuple[int, str | None]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(Index(items))
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                stays = np.ones(batch.num_rows, bool)
+                stays[[row for row, *_ in found_in(batch.column(place), shared.value)]] = False
+                yield batch.filter(pa.array(stays))
+
+        return rows.mapInArrow(clean, schema)
+
+    items, size = [], 0
+    for item in benchmark.select("item_id", "text").toLocalIterator():
+        if size >= block:
+            docs = written(passed(docs, items), "decontaminated")
+            items, size = [], 0
+        items.append((item[0], item[1]))
+        size += len(item[1] or "")
+    return passed(docs, items)

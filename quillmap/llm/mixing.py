@@ -19,9 +19,9 @@ WEIGHTS = (3, 1, 2)
 BRANCH = 32
 
 
-def sized(docs: DataFrame, text: str = "text") -> DataFrame:
+def sized(docs: DataFrame, text: str = "text", by: str = "doc_id") -> DataFrame:
     """(doc_id, source, size): the words of each whole text; null has none."""
-    return docs.select("doc_id", "source", F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long").alias("size"))
+    return docs.select(F.col(by).alias("doc_id"), "source", F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long").alias("size"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
@@ -90,7 +90,7 @@ def folded(items: Column, seed: int, level: int) -> Column:
     return F.aggregate(F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0))), start, pair)
 
 
-def mixed(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2, seed: int = 42) -> DataFrame:
+def mixed(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2, seed: int = 42, by: str = "doc_id") -> DataFrame:
     """(doc_id, source, size, source_size, target, copies), a row per row of docs.
 
     Each document is taken ``copies`` times, ``most`` at the outside; a source's
@@ -99,9 +99,9 @@ def mixed(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = WEIGHT
     ids alone, so reruns agree. Null texts and texts without words have
     size 0 and no copies; a null source is a source; repeated rows are rounded
     each on its own; an empty table gives an empty table. Other columns of the
-    input are not read.
+    input are not read. ``by`` names the column that is returned as doc_id.
     """
-    sizes = written(sized(docs, text), "mix-sizes")
+    sizes = written(sized(docs, text, by), "mix-sizes")
     per_source = written(targets(sizes, weights, share, most), "mix-targets")
     # Rows alike are counted and numbered, which gives each its own draw.
     rows = sizes.groupBy("doc_id", "source", "size").count().withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count")))).drop("count")

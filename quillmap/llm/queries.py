@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality_rules, resampling, secret_scan, simhash, toxicity, url_filter, warc
+from . import decontamination, lm_scoring, mixing, quality_rules, resampling, secret_scan, simhash, toxicity, url_filter, warc
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +218,15 @@ def op6_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' weights toward those labelled good, and which are kept."""
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     return resampling.resampled(table(spark, sf_dir, "documents").select("doc_id", "text"), good)
+
+
+# --------------------------------------------------------------------------- 1
+
+
+@query("op1_lm_scoring")
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probability; a fifth of the rows is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(5, F.col("doc_id")) == 1
+    made = lm_scoring.scored(docs, ~held_out)
+    return made.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
