@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmap.llm import quality_rules
+from quillmap.llm import decontamination, mixing, quality_rules, secret_scan, simhash
 from quillmap.llm.common import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -16,7 +17,40 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.applied(book, quality_rules.POLICIES[1]).filter("kept").select(*COLUMNS)
 
 
-STAGES = [("quality rules", rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, 0.8)."""
+    return simhash.one_of_each(docs.select(*COLUMNS))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontamination.cleaned(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each secret in their texts masked; n_chars follows."""
+    docs = docs.select(*COLUMNS)
+    found = secret_scan.with_findings(docs, secret_scan.scanned(docs))
+    masked = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("secrets")))
+    length = F.when(F.size("secrets") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return masked.withColumn("n_chars", length).select(*COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, copies numbered from 1."""
+    keyed = docs.select(*COLUMNS, simhash.row_key().alias("key"))
+    taken = mixing.mixed(keyed, by="key").groupBy(F.col("doc_id").alias("key")).agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    rows = keyed.join(taken, "key").dropDuplicates(["key"])
+    return rows.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+
+
+STAGES = [
+    ("quality rules", rules),
+    ("near duplicates", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("secret scans", secrets_masked),
+    ("mixing", mixed),
+]
 
 #: SimHash components, edit distances and seeded rounding are beyond SQL.
 ORACLE_SQL = None
