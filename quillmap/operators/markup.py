@@ -53,6 +53,7 @@ class Element:
     notes: list[dict] = field(default_factory=list)
     empty: bool = False
     lost: dict | None = None  # set if it is still open where the document ends
+    attributes: list | None = None  # once they have been read
 
     @property
     def span(self) -> dict:
@@ -64,8 +65,10 @@ TAG_NAME = re.compile(rb"<[^ \t\n\x0c\r>/]*")
 
 def attributes(source: bytes, element: Element) -> list[tuple[bytes, int, int, int, int]]:
     """(name, name's start and end, value's start and end) of a start tag."""
+    if element.attributes is not None:
+        return element.attributes
     at = TAG_NAME.match(source, element.start, element.tag_end).end()
-    found = []
+    found = element.attributes = []
     while not STOP.match(source, at, element.tag_end):
         m = ATTRIBUTE.match(source, at, element.tag_end)
         if m["value"] is not None:

@@ -15,13 +15,13 @@ def recall(docs: DataFrame, stated: DataFrame, content: str = "content") -> Data
     return expected.join(found, "doc_id", "left").select("doc_id", "n_expected", F.coalesce("n_found", F.lit(0)).alias("n_found"))
 
 
-def bound_by_namespace(stated: DataFrame, documents: DataFrame, sources: DataFrame) -> DataFrame:
-    """Statements with ``bound``: their namespace's Java file calls ``id(``.
+def bound_by_namespace(stated: DataFrame, documents: DataFrame, sources: DataFrame, root: str = "/java/") -> DataFrame:
+    """Statements with ``bound``: their namespace's Java file has ``id(``.
 
-    Namespaces and files meet in an equality join on the path.
+    Namespaces and files meet in an equality join on the path below ``root``.
     """
     named = stated.join(documents.select("doc_id", "namespace"), "doc_id")
-    files = sources.select(F.regexp_extract("path", r"(?:^|/java/)([^:]*)\.java$", 1).alias("__place"), F.col("text").alias("__java"))
+    files = sources.select(F.regexp_extract("path", rf"\Q{root}\E(.*)\.java$", 1).alias("__place"), F.col("text").alias("__java"))
     joined = named.withColumn("__place", F.replace("namespace", F.lit("."), F.lit("/"))).join(files, "__place", "left")
     return joined.withColumn("bound", F.coalesce(F.contains("__java", F.concat("id", F.lit("("))), F.lit(False))).drop("__place", "__java")
 
