@@ -220,11 +220,12 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
     fingerprint. Needs doc_id and text; all columns stay.
     """
     columns = docs.columns
-    keyed = docs.withColumn("key", row_key())
-    rows = written(fingerprinted(keyed.select("doc_id", "key", "text"), size, ("doc_id", "key")), "fingerprints")
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    keyed = docs.select("doc_id", "text", row_key().alias("key"), whole)
+    rows = written(fingerprinted(keyed, size, ("doc_id", "key")), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("key").alias("key"))
     fps = written(rows.groupBy("fp").agg(F.min(order).alias("first")), "distinct-fingerprints")
     links = verified(linked(fps, radius, parts, tile_rows), keyed, fps.select("fp", F.col("first.key").alias("key")), size, similarity)
     of = classes(fps, links)
     stays = of.join(fps, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
-    return keyed.join(stays, "key").dropDuplicates(["key"]).select(*columns)
+    return keyed.select("key", "row").join(stays, "key").dropDuplicates(["key"]).select("row.*")
