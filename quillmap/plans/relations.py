@@ -7,7 +7,7 @@ Every relation is a projection of the same parsed rows; write those once
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ("doc_id",)
@@ -113,12 +113,16 @@ def diagnostics(parsed: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
 def duplicate_ids(stated: DataFrame, scope: tuple[str, ...] = KEY) -> DataFrame:
     """Statements whose id and database id an earlier one in the scope has.
 
-    Only ids that repeat are ranked: a partial aggregate finds them first, so
-    the window's partitions hold repeats and not every statement.
+    The first of each is a partial aggregate's least row and the others are
+    joined to it, so an id that a third of the corpus repeats is no single
+    task's. A null database id is one like others.
     """
+    order = F.struct(*[c for c in ("doc_id", "ord") if c in stated.columns])
     keys = [*scope, "id", "database_id"]
-    order = [c for c in ("doc_id", "ord") if c in stated.columns]
-    return stated.filter("id IS NOT NULL").withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("nth > 1")
+    rows = stated.filter("id IS NOT NULL").withColumn("__order", order)
+    first = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min("__order").alias("__first"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return rows.join(first, same).filter("__order > __first").select(*stated.columns)
 
 
 def missing_ids(stated: DataFrame) -> DataFrame:

@@ -83,3 +83,20 @@ def test_stream_equals_batch(spark, folder, rows):
         assert key(spark.table("streamed")) == key(rows)
     finally:
         q.stop()
+
+
+def test_sql_functions(spark, folder):
+    from quillmap.functions import registered
+
+    registered.register(spark)
+    corpus.files(spark, folder).createOrReplaceTempView("mapper_files")
+    got = spark.sql("SELECT mapper_dialect(content) AS d, get_json_object(mapper_json(content), '$.dialect') AS j, mapper_version() AS v FROM mapper_files").collect()
+    assert sorted(r["d"] for r in got) == ["ibatis", "mybatis", "unknown"] and all(r["d"] == r["j"] and r["v"] for r in got)
+    rows = spark.sql("SELECT v.id, v.text, v.conditions FROM mapper_files, LATERAL mapper_variants(content) v WHERE v.id = 'q'").collect()
+    assert sorted((r["text"], r["conditions"]) for r in rows) == [("S /* batis:include(f) */", []), ("S /* batis:include(f) */ ?", ["t"]), ("T", [])]
+
+
+def test_a_repeated_id_with_and_without_database(spark):
+    data = [(d, o, "a", db) for d in range(3) for o in range(2) for db in (None, "x")] + [(9, 0, None, None)] * 2
+    s = spark.createDataFrame(data, "doc_id long, ord int, id string, database_id string")
+    assert relations.duplicate_ids(s).count() == 6 and relations.duplicate_ids(s, ()).count() == 10
