@@ -25,21 +25,37 @@ from .components import components
 BLOCK = 1 << 19
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
+def respun(h: np.ndarray, turn: int) -> np.ndarray:
+    """Another 64-bit hash of the same things (the finalizer of splitmix64)."""
+    with np.errstate(over="ignore"):
+        z = h + np.uint64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def wide_fingerprint(text: str | None, size: int = 3, width: int = 1) -> np.ndarray:
     """The SimHash of a text's shingles of ``size`` words, repeats included.
 
-    A text of fewer words has one shingle, the words it has; one without words
-    (or null) has the fingerprint zero.
+    ``width`` words of 64 bits; the first is that of the shingles' XXH64, the
+    others are of hashes spun from it. A text of fewer words has one shingle,
+    the words it has; one without words (or null) has zeros.
     """
     w = (text or "").encode().lower().split()
     if not w:
-        return 0
+        return np.zeros(width, np.uint64)
     shingles = iter([b" ".join(w)]) if len(w) < size else map(b" ".join, zip(*(w[k:] for k in range(size)), strict=False))
-    digest, total, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0
+    digest, total, n = xxhash.xxh64_intdigest, np.zeros((width, 64), np.int64), 0
     while len(h := np.fromiter([digest(s, 42) for s in itertools.islice(shingles, 1 << 16)], np.uint64)):
-        total += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        for k in range(width):
+            bits = (respun(h, k) if k else h).astype("<u8").view(np.uint8).reshape(-1, 8)
+            total[k] += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(h)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+    return np.packbits(2 * total > n, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def fingerprint(text: str | None, size: int = 3) -> int:
+    return int(wide_fingerprint(text, size)[0])
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -47,15 +63,17 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.sha2(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), text_or_empty(text)).cast("binary"), 256)
 
 
-def fingerprinted(docs: DataFrame, size: int = 3, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The carried columns and ``fp`` (64 bits as a long) of every row."""
+def fingerprinted(docs: DataFrame, size: int = 3, carry: tuple[str, ...] = ("doc_id",), text: str = "text", width: int = 1) -> DataFrame:
+    """The carried columns, ``fp`` (64 bits as a long) and ``more`` (the words after it)."""
     rows = docs.select(*carry, F.col(text).alias("__text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1]) + ", fp long"
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1]) + ", fp long, more array<long>"
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, size) for t in batch.column(batch.num_columns - 1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names=[*carry, "fp"])
+            texts = batch.column(batch.num_columns - 1)
+            fps = np.array([wide_fingerprint(t.as_py(), size, width) for t in texts], np.uint64).view(np.int64).reshape(-1, width)
+            more = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * (width - 1)), pa.array(fps[:, 1:].ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps[:, 0].copy()), more], names=[*carry, "fp", "more"])
 
     return rows.mapInArrow(hashed, schema)
 
@@ -91,24 +109,36 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
         label = merged(label, a[picks], b[picks])
 
 
-def compared(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A spanning forest of the links of two tiles: values and distances."""
+def compared(left: np.ndarray, right: np.ndarray, same: bool, radius: int, wide_radius: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of the links of two tiles: values and distances.
+
+    Tiles have a row for each fingerprint and a column for each of its words.
+    All pairs of first words are compared; what is within ``radius`` there is
+    held to ``wide_radius`` over all words.
+    """
     both = left if same else np.concatenate([left, right])
     shift = 0 if same else len(left)
+    first, second = left[:, 0].copy(), right[:, 0].copy()
     i = j = d = np.zeros(0, np.int64)
     step = max(1, BLOCK // max(1, len(right)))
     for at in range(0, len(left), step):
-        off = np.bitwise_count(left[at : at + step, None] ^ right[None, :])
+        # Of a tile with itself, each pair is looked at from its earlier member.
+        begin = at if same else 0
+        off = np.bitwise_count(first[at : at + step, None] ^ second[None, begin:])
         row, col = np.nonzero(off <= radius)
         dist = off[row, col].astype(np.int64)
-        row = row + at
+        row, col = row + at, col + begin
         if same:
             row, col, dist = row[row < col], col[row < col], dist[row < col]
+        if wide_radius is not None and len(row):
+            dist = dist + np.bitwise_count(left[row, 1:] ^ right[col, 1:]).sum(axis=1, dtype=np.int64)
+            near = dist <= wide_radius
+            row, col, dist = row[near], col[near], dist[near]
         if len(row):
             i, j, d = np.concatenate([i, row]), np.concatenate([j, col + shift]), np.concatenate([d, dist])
             keep = forest(len(both), i, j, d)
             i, j, d = i[keep], j[keep], d[keep]
-    return both[i], both[j], d
+    return both[i, 0], both[j, 0], d
 
 
 def counts_within(parts: int, radius: int) -> list[tuple[int, ...]]:
@@ -118,9 +148,12 @@ def counts_within(parts: int, radius: int) -> list[tuple[int, ...]]:
     return [x for x in found if x >= (0,) * parts]
 
 
-def linked(fps: DataFrame, radius: int = 2, parts: int = 4, tile_rows: int = 4096) -> DataFrame:
+def linked(fps: DataFrame, radius: int = 2, parts: int = 4, tile_rows: int = 4096, wide_radius: int | None = None) -> DataFrame:
     """(a, b, distance): links that span all components of distinct ``fp``.
 
+    With ``wide_radius`` a link also has no more differing bits than that over
+    ``fp`` and the words in ``more`` together.
+
     Exact: fingerprints that differ in ``radius`` bits or fewer end in one
     component. ``parts``: into how many parts of equal width the population
     count is taken; more parts skip more tile pairs and make smaller tiles.
@@ -131,11 +164,12 @@ def linked(fps: DataFrame, radius: int = 2, parts: int = 4, tile_rows: int = 409
     base = 65
     part = [F.bit_count(F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit(mask).cast("long"))).cast("long") if width < 64 else F.bit_count("fp").cast("long") for k in range(parts)]
     sig = sum((p * base**k for k, p in enumerate(part)), F.lit(0).cast("long"))
-    rows = fps.select("fp", sig.alias("sig"))
+    more = F.col("more") if wide_radius is not None else F.array().cast("array<bigint>")
+    rows = fps.select("fp", more.alias("more"), sig.alias("sig"))
     sizes = written(rows.groupBy("sig").count().select("sig", F.ceil(F.col("count") / tile_rows).cast("int").alias("chunks")), "signatures")
     small = F.broadcast(sizes)  # at most (64/parts + 1) ** parts rows
-    placed = rows.join(small, "sig").select("sig", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("chunk"), "fp")
-    tiles = written(placed.groupBy("sig", "chunk").agg(F.collect_list("fp").alias("fps")), "tiles")
+    placed = rows.join(small, "sig").select("sig", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("chunk"), F.concat(F.array("fp"), "more").alias("words"))
+    tiles = written(placed.groupBy("sig", "chunk").agg(F.count(F.lit(1)).alias("rows"), F.flatten(F.collect_list("words")).alias("fps")), "tiles")
     offsets = [sum(x * base**k for k, x in enumerate(d)) for d in counts_within(parts, radius)]
     near = F.array(*[F.lit(x).cast("long") for x in offsets])
     # A difference that leaves a part's range could meet another signature's
@@ -145,18 +179,18 @@ def linked(fps: DataFrame, radius: int = 2, parts: int = 4, tile_rows: int = 409
     pairs = pairs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).filter("sig <> to OR other >= chunk")
     digit = lambda c, k: F.pmod(F.floor(F.col(c) / base**k), F.lit(base))
     pairs = pairs.filter(sum((F.abs(digit("sig", k) - digit("to", k)) for k in range(parts)), F.lit(0)) <= radius)
-    left = tiles.withColumnRenamed("fps", "left")
-    right = tiles.select(F.col("sig").alias("to"), F.col("chunk").alias("other"), F.col("fps").alias("right"))
+    left = tiles.select("sig", "chunk", F.col("rows").alias("n_left"), F.col("fps").alias("left"))
+    right = tiles.select(F.col("sig").alias("to"), F.col("chunk").alias("other"), F.col("rows").alias("n_right"), F.col("fps").alias("right"))
     spark = fps.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     work = pairs.select("sig", "chunk", "to", "other").join(left, ["sig", "chunk"]).join(right, ["to", "other"])
-    work = work.repartition(n, "sig", "chunk", "to", "other").select("left", "right", ((F.col("sig") == F.col("to")) & (F.col("chunk") == F.col("other"))).alias("same"))
+    work = work.repartition(n, "sig", "chunk", "to", "other").select("left", "right", "n_left", "n_right", ((F.col("sig") == F.col("to")) & (F.col("chunk") == F.col("other"))).alias("same"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                x, y = (batch.column(c)[k].values.to_numpy().view(np.uint64) for c in (0, 1))
-                a, b, d = compared(x, y, batch.column(2)[k].as_py(), radius)
+                x, y = (batch.column(c)[k].values.to_numpy().view(np.uint64).reshape(batch.column(c + 2)[k].as_py(), -1) for c in (0, 1))
+                a, b, d = compared(x, y, batch.column(4)[k].as_py(), radius, wide_radius)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(d.astype(np.int32))], ["a", "b", "distance"])
 
@@ -204,28 +238,31 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, parts: int
     texts have fingerprint zero and link like others; repeated rows make a row
     each; an empty table gives an empty table; other columns are not read.
     """
-    rows = written(fingerprinted(docs, size, text=text), "fingerprints")
+    rows = written(fingerprinted(docs, size, text=text).drop("more"), "fingerprints")
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     of = classes(fps, linked(fps, radius, parts, tile_rows))
     by_root = of.join(fps, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(of.join(by_root, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 9, parts: int = 1, tile_rows: int = 32768) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 17, width: int = 4, wide_radius: int = 54, tile_rows: int = 131072) -> DataFrame:
     """One row of each group of near-duplicates: least doc_id, nulls last.
 
-    Fingerprints of ``size``-word shingles within ``radius`` bits are candidates
-    (9 of 64 is the angle at which SimHash expects a Jaccard similarity of 0.8);
-    a link is one whose shingle sets really have the similarity, or one
-    fingerprint. Needs doc_id and text; all columns stay.
+    Fingerprints of ``size``-word shingles have ``width`` words of 64 bits. At a
+    Jaccard similarity of 0.8 SimHash expects 39 of 256 bits to differ, 5.7 more
+    or less, and 9.7 of the first 64, 2.9 more or less; of texts that share
+    nothing, 128. Pairs within both radii are candidates, and a link is a
+    candidate whose shingle sets really have the similarity, or one fingerprint.
+    Needs doc_id and text; all columns stay.
     """
     columns = docs.columns
     whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
     keyed = docs.select("doc_id", "text", row_key().alias("key"), whole)
-    rows = written(fingerprinted(keyed, size, ("doc_id", "key")), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("key").alias("key"))
+    rows = written(fingerprinted(keyed, size, ("doc_id", "key"), width=width), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("key").alias("key"), F.col("more").alias("more"))
     fps = written(rows.groupBy("fp").agg(F.min(order).alias("first")), "distinct-fingerprints")
-    links = verified(linked(fps, radius, parts, tile_rows), keyed, fps.select("fp", F.col("first.key").alias("key")), size, similarity)
+    links = linked(fps.select("fp", F.col("first.more").alias("more")), radius, 1, tile_rows, wide_radius)
+    links = verified(links, keyed, fps.select("fp", F.col("first.key").alias("key")), size, similarity)
     of = classes(fps, links)
     stays = of.join(fps, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
     return keyed.select("key", "row").join(stays, "key").dropDuplicates(["key"]).select("row.*")
