@@ -17,6 +17,7 @@ from .schema import RESULT
 
 #: Rows of a batch that is handed back at once.
 BATCH = 256
+COLUMNS = ("dialect", "encoding", "mapper", "diagnostics")
 
 
 def _bytes(content: Column, type_name: str) -> Column:
@@ -32,17 +33,19 @@ def prepared(docs: DataFrame, content: str, carry: tuple[str, ...]) -> DataFrame
     return docs.select(*carry, F.when(size <= mapper.MOST_BYTES, body).alias("__content"), size.alias("__size"))
 
 
-def parsed(docs: DataFrame, content: str = "content", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def parsed(docs: DataFrame, content: str = "content", carry: tuple[str, ...] = ("doc_id",), columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """(carried columns, dialect, encoding, mapper, diagnostics) of every document.
 
-    Binary content goes through encoding detection; a string is decoded already.
+    The optimizer cannot see into the parse, so what is not asked for in
+    ``columns`` is left out here: it is not turned into Arrow data. Binary content goes through encoding detection; a string is decoded already.
     Null content is an empty document. Rows in, rows out: order and repeats of
     the input do not matter and other columns are not read.
     """
     rows = prepared(docs, content, carry)
     text = dict(docs.dtypes)[content] == "string"
     head = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-2])
-    schema = StructType.fromDDL(f"{head}, {RESULT}" if head else RESULT)
+    whole = StructType.fromDDL(f"{head}, {RESULT}" if head else RESULT)
+    schema = StructType(whole.fields[: len(carry)] + [whole[len(carry) + COLUMNS.index(c)] for c in columns])
     kinds = [to_arrow_type(f.dataType) for f in schema.fields[len(carry) :]]
     names = [f.name for f in schema.fields]
 
@@ -57,7 +60,7 @@ def parsed(docs: DataFrame, content: str = "content", carry: tuple[str, ...] = (
                 batch = whole.slice(at, BATCH)
                 pairs = zip(batch.column(len(carry)).to_pylist(), batch.column(len(carry) + 1).to_pylist(), strict=True)
                 results = [result(*p) for p in pairs]
-                made = [pa.array([r[k] for r in results], kind) for k, kind in zip(("dialect", "encoding", "mapper", "diagnostics"), kinds, strict=True)]
+                made = [pa.array([r[k] for r in results], kind) for k, kind in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *made], names=names)
 
     return rows.mapInArrow(parse, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import accuracy, relations
-from .parsing import as_json, detected, from_json, parsed
+from .parsing import COLUMNS, as_json, detected, from_json, parsed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,10 +33,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def templated(spark: SparkSession, sf_dir: str, name: str, key: str, body: str, root: str = "mapper") -> DataFrame:
+def templated(spark: SparkSession, sf_dir: str, name: str, key: str, body: str, root: str = "mapper", columns: tuple[str, ...] = ("mapper",)) -> DataFrame:
     """Parsed documents: one a row of the table, ``body`` a SQL string expression."""
     docs = table(spark, sf_dir, name).select(key, F.concat(F.lit(f'<{root} namespace="ns">'), F.expr(body), F.lit(f"</{root}>")).alias("content"))
-    return parsed(docs, carry=(key,))
+    return parsed(docs, carry=(key,), columns=columns)
 
 
 def texts(rows: DataFrame, key: str) -> DataFrame:
@@ -59,7 +59,7 @@ def dialect_detect_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def root_diag_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the parser says of roots that are no mapper."""
-    d = relations.diagnostics(parsed(table(spark, sf_dir, "pages"), "html", ("page_id",)), ("page_id",))
+    d = relations.diagnostics(parsed(table(spark, sf_dir, "pages"), "html", ("page_id",), ("diagnostics",)), ("page_id",))
     return d.select("page_id", "code", F.col("span_start").cast("long").alias("span_start"), F.col("span_end").cast("long").alias("span_end"))
 
 
@@ -100,7 +100,7 @@ def id_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated and missing ids inside a document."""
     body = """concat('<select id="a">x</select>', CASE WHEN o_orderkey % 3 > 0 THEN '<update id="a">y</update>' ELSE '<update id="a" databaseId="d">y</update>' END,
       CASE WHEN o_orderkey % 5 = 0 THEN '<delete>z</delete>' ELSE '' END)"""
-    d = relations.diagnostics(templated(spark, sf_dir, "orders", "o_orderkey", body), ("o_orderkey",))
+    d = relations.diagnostics(templated(spark, sf_dir, "orders", "o_orderkey", body, columns=("diagnostics",)), ("o_orderkey",))
     return d.groupBy("o_orderkey", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -232,7 +232,7 @@ def ibatis_dynamic_prepend(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def branch_cap_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     ifs = "array_join(transform(sequence(1, CAST(p_partkey % 4 + 4 AS INT)), j -> concat('<if test=\"c', j, '\">t', j, '</if>')), '')"
-    rows = templated(spark, sf_dir, "part", "p_partkey", f"concat('<select id=\"e\">', {ifs}, '</select>')")
+    rows = templated(spark, sf_dir, "part", "p_partkey", f"concat('<select id=\"e\">', {ifs}, '</select>')", columns=("mapper", "diagnostics"))
     s = F.col("mapper.statements")[0]["sql"]
     union = s["union"].isNotNull()
     return rows.select(
@@ -350,7 +350,7 @@ def diag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = """concat('<select id="e"', CASE WHEN o_orderkey % 7 = 0 THEN ' id="f"' ELSE '' END, '>S', CASE WHEN o_orderkey % 2 = 0 THEN '<iff>a</iff>' ELSE '' END,
       CASE WHEN o_orderkey % 3 = 0 THEN ' a && b ' ELSE '' END, CASE WHEN o_orderkey % 11 = 0 THEN '<where> <include refid="g"/> AND x </where>' ELSE '' END,
       CASE WHEN o_orderkey % 5 = 0 THEN ' #{x' ELSE '' END, '</select>')"""
-    d = relations.diagnostics(templated(spark, sf_dir, "orders", "o_orderkey", body), ("o_orderkey",))
+    d = relations.diagnostics(templated(spark, sf_dir, "orders", "o_orderkey", body, columns=("diagnostics",)), ("o_orderkey",))
     return d.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -399,7 +399,7 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results written as JSON documents and read again."""
     body = "concat('<select id=\"e\">S ', o_custkey, '</select><slect/>')"
     key = ("o_orderkey",)
-    rows = from_json(as_json(templated(spark, sf_dir, "orders", "o_orderkey", body), key), "json", key)
+    rows = from_json(as_json(templated(spark, sf_dir, "orders", "o_orderkey", body, columns=COLUMNS), key), "json", key)
     return rows.select("o_orderkey", F.col("mapper.statements")[0]["sql"]["variants"][0]["text"]["text"].alias("text"), F.col("diagnostics")[0]["code"].alias("code"))
 
 
@@ -409,3 +409,50 @@ def hostile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = "concat('<mapper><select id=\"e\">', replace(replace(coalesce(text, ''), ' a', '<a '), ' e', '&e'), CASE WHEN doc_id % 2 = 0 THEN '</select>' ELSE '' END)"
     rows = parsed(table(spark, sf_dir, "documents").select("doc_id", F.expr(broken).alias("content")))
     return rows.select("doc_id", "dialect", F.size("diagnostics").alias("n_diagnostics"))
+
+
+# ------------------------------------------------------ encodings and limits
+
+
+@query(
+    """SELECT c_custkey, ['UTF-8', 'UTF-8', 'UTF-16LE', 'UTF-16BE', 'EUC-KR', 'EUC-KR'][1 + (c_custkey % 6)::INT] AS encoding,
+    CASE WHEN c_custkey % 6 >= 4 THEN chr(44032) ELSE chr(44032) || chr(233) END || c_custkey AS namespace,
+    CASE WHEN c_custkey % 6 = 5 THEN 'encoding_mismatch' END AS code FROM customer"""
+)
+def encodings_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTF-8 with and without its mark, both UTF-16 forms, EUC-KR undeclared and declared wrongly."""
+    text = "concat('<mapper namespace=\"', chr_kor, chr_acute, c_custkey, '\"/>')"
+    head = "CASE WHEN c_custkey % 6 = 5 THEN '<?xml version=\"1.0\" encoding=\"UTF-8\"?>' ELSE '' END"
+    korean = f"concat(encode(concat({head}, '<mapper namespace=\"'), 'UTF-8'), X'B0A1', encode(concat(c_custkey, '\"/>'), 'UTF-8'))"
+    content = f"""CASE c_custkey % 6 WHEN 0 THEN encode({text}, 'UTF-8') WHEN 1 THEN concat(X'EFBBBF', encode({text}, 'UTF-8'))
+      WHEN 2 THEN concat(X'FFFE', encode({text}, 'UTF-16LE')) WHEN 3 THEN concat(X'FEFF', encode({text}, 'UTF-16BE')) ELSE {korean} END"""
+    docs = table(spark, sf_dir, "customer").select("c_custkey", F.lit("가").alias("chr_kor"), F.lit("é").alias("chr_acute")).select("c_custkey", F.expr(content).alias("content"))
+    rows = parsed(docs, carry=("c_custkey",))
+    return rows.select("c_custkey", "encoding", F.col("mapper.namespace.value").alias("namespace"), F.get("diagnostics", F.lit(0))["code"].alias("code"))
+
+
+@query("SELECT r_regionkey, r_regionkey % 2 = 0 AS has_mapper, CASE WHEN r_regionkey % 2 = 1 THEN 'oversize_input' END AS code, CASE WHEN r_regionkey % 2 = 0 THEN 'mybatis' ELSE 'unknown' END AS dialect FROM region")
+def oversize_gate_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of ten megabytes less and more: the larger never reach the parser."""
+    content = "concat('<mapper>', repeat(' ', CASE WHEN r_regionkey % 2 = 1 THEN 10485760 ELSE 1000 END), '</mapper>')"
+    rows = parsed(table(spark, sf_dir, "region").select("r_regionkey", F.expr(content).alias("content")), carry=("r_regionkey",))
+    return rows.select("r_regionkey", F.col("mapper").isNotNull().alias("has_mapper"), F.get("diagnostics", F.lit(0))["code"].alias("code"), "dialect")
+
+
+@query(
+    """SELECT n_nationkey, i AS ord, 'f' || i AS id, 'x' || n_regionkey AS text FROM nation, (VALUES (0), (1)) v(i)"""
+)
+def fragments_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments in document order; one without an id is dropped."""
+    body = "concat('<sql id=\"f0\">x', n_regionkey, '</sql><sql>lost</sql><sql id=\"f1\">x', n_regionkey, '</sql>')"
+    rows = templated(spark, sf_dir, "nation", "n_nationkey", body)
+    key = ("n_nationkey",)
+    f = relations.fragments(rows, key).select("n_nationkey", "ord", "id")
+    v = relations.variants(rows, key).select("n_nationkey", F.col("owner_ord").alias("ord"), "text")
+    return f.join(v, ["n_nationkey", "ord"])
+
+
+@query("SELECT n_nationkey, 'select' AS kind FROM nation WHERE n_regionkey = 2")
+def missing_ids_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = "concat('<select', CASE WHEN n_regionkey = 2 THEN '' ELSE ' id=\"a\"' END, '>x</select>')"
+    return relations.missing_ids(relations.statements(templated(spark, sf_dir, "nation", "n_nationkey", body), ("n_nationkey",))).select("n_nationkey", "kind")
