@@ -167,15 +167,16 @@ def linked(fps: DataFrame, radius: int = 2, parts: int = 4, tile_rows: int = 409
     more = F.col("more") if wide_radius is not None else F.array().cast("array<bigint>")
     rows = fps.select("fp", more.alias("more"), sig.alias("sig"))
     sizes = written(rows.groupBy("sig").count().select("sig", F.ceil(F.col("count") / tile_rows).cast("int").alias("chunks")), "signatures")
-    small = F.broadcast(sizes)  # at most (64/parts + 1) ** parts rows
-    placed = rows.join(small, "sig").select("sig", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("chunk"), F.concat(F.array("fp"), "more").alias("words"))
+    few = (width + 1) ** parts <= 100_000  # all the signatures there can be
+    small = F.broadcast if few else (lambda df: df)
+    placed = rows.join(small(sizes), "sig").select("sig", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("chunk"), F.concat(F.array("fp"), "more").alias("words"))
     tiles = written(placed.groupBy("sig", "chunk").agg(F.count(F.lit(1)).alias("rows"), F.flatten(F.collect_list("words")).alias("fps")), "tiles")
     offsets = [sum(x * base**k for k, x in enumerate(d)) for d in counts_within(parts, radius)]
     near = F.array(*[F.lit(x).cast("long") for x in offsets])
     # A difference that leaves a part's range could meet another signature's
     # number; the counts themselves are compared again below.
     pairs = tiles.select("sig", "chunk", F.explode(near).alias("o")).withColumn("to", F.col("sig") + F.col("o"))
-    pairs = pairs.join(F.broadcast(sizes.withColumnsRenamed({"sig": "to", "chunks": "n"})), "to")
+    pairs = pairs.join(small(sizes.withColumnsRenamed({"sig": "to", "chunks": "n"})), "to")
     pairs = pairs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).filter("sig <> to OR other >= chunk")
     digit = lambda c, k: F.pmod(F.floor(F.col(c) / base**k), F.lit(base))
     pairs = pairs.filter(sum((F.abs(digit("sig", k) - digit("to", k)) for k in range(parts)), F.lit(0)) <= radius)
