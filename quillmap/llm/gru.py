@@ -117,12 +117,13 @@ def gradients(p: dict, shape: Shape, symbols: np.ndarray, targets: np.ndarray, l
     """
     steps, lanes = symbols.shape
     table = inputs(p)
+    all_live = (symbols >= 0).all(axis=1)
     h = np.zeros((lanes, HIDDEN), np.float32)
     kept, states = [], []
     for t in range(steps):
         live = symbols[t] >= 0
         new, memory = stepped(p, table, np.where(live, symbols[t], shape.symbols), h)
-        h = np.where(live[:, None], new, h)
+        h = new if all_live[t] else np.where(live[:, None], new, h)
         if learned[t]:
             kept.append((memory, live))
             states.append(h)
@@ -151,23 +152,31 @@ def gradients(p: dict, shape: Shape, symbols: np.ndarray, targets: np.ndarray, l
     dh_all = np.zeros_like(hs)
     dh_all[use] = du
     dh_all = dh_all.reshape(len(kept), lanes, HIDDEN)
-    dtable = np.zeros_like(table)
     dh = np.zeros((lanes, HIDDEN), np.float32)
+    din, dgates = np.empty((len(kept), lanes, 3 * HIDDEN), np.float32), np.empty((len(kept), lanes, 2 * HIDDEN), np.float32)
+    back_new, back_state = p["new"].T.copy(), p["state"].T.copy()
     for t in range(len(kept) - 1, -1, -1):
-        (symbol, before, gate, rh, new), live = kept[t]
-        dh = dh + dh_all[t]
+        (_, before, gate, _, new), live = kept[t]
+        dh += dh_all[t]
         on = dh * live[:, None]
         z, r = gate[:, :HIDDEN], gate[:, HIDDEN:]
         dn = on * (1 - z) * (1 - new * new)
-        dz = on * (before - new) * z * (1 - z)
-        drh = dn @ p["new"].T
-        dr = drh * before * r * (1 - r)
-        dgate = np.concatenate([dz, dr], axis=1)
-        g["state"] += before.T @ dgate
-        g["new"] += rh.T @ dn
-        np.add.at(dtable, symbol, np.concatenate([dgate, dn], axis=1))
-        dh = dh - on + on * z + drh * r + dgate @ p["state"].T
-    g["embed"], g["in"], g["gates"] = dtable @ p["in"].T, p["embed"].T @ dtable, dtable.sum(axis=0)
+        drh = dn @ back_new
+        dgate = dgates[t]
+        dgate[:, :HIDDEN] = on * (before - new)
+        dgate[:, HIDDEN:] = drh * before
+        dgate *= gate * (1 - gate)
+        din[t, :, : 2 * HIDDEN], din[t, :, 2 * HIDDEN :] = dgate, dn
+        dh = dh - on + on * z + drh * r + dgate @ back_state
+    flat = din.reshape(-1, 3 * HIDDEN)
+    g["state"] = np.concatenate([m[1] for m, _ in kept]).T @ dgates.reshape(-1, 2 * HIDDEN)
+    g["new"] = np.concatenate([m[3] for m, _ in kept]).T @ flat[:, 2 * HIDDEN :]
+    symbol = np.concatenate([m[0] for m, _ in kept])
+    order = np.argsort(symbol, kind="stable")
+    first = np.flatnonzero(np.diff(symbol[order], prepend=-1))
+    rows, sums = symbol[order][first], np.add.reduceat(flat[order], first, axis=0)
+    g["embed"][rows] = sums @ p["in"].T
+    g["in"], g["gates"] = p["embed"][rows].T @ sums, flat.sum(axis=0)
     return g, float(loss) / n
 
 
@@ -178,14 +187,20 @@ class Adam:
 
     def update(self, p: dict, g: dict) -> None:
         self.t += 1
-        size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        scale = min(1.0, 1.0 / max(size, 1e-9))
-        step = self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        size = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
+        scale = np.float32(min(1.0, 1.0 / max(size, 1e-9)))
+        step = np.float32(self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
         for k, x in g.items():
-            x = x * np.float32(scale)
-            self.m[k] = 0.9 * self.m[k] + 0.1 * x
-            self.v[k] = 0.99 * self.v[k] + 0.01 * x * x
-            p[k] -= (step * self.m[k] / (np.sqrt(self.v[k]) + 1e-6)).astype(np.float32)
+            x *= scale
+            m, v = self.m[k], self.v[k]
+            m += np.float32(0.1) * (x - m)
+            x *= x
+            v += np.float32(0.01) * (x - v)
+            np.sqrt(v, out=x)
+            x += np.float32(1e-6)
+            np.divide(m, x, out=x)
+            x *= step
+            p[k] -= x
 
 
 #: Tokens of padded lanes that one group of texts may have.

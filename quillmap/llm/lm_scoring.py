@@ -9,6 +9,7 @@ its training texts, and after each round the partitions' weights are averaged.
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
 import zlib
@@ -81,8 +82,18 @@ class Vocabulary:
     @classmethod
     def of(cls, counts: DataFrame) -> Vocabulary:
         total, distinct = (int(x or 0) for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
-        top = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).toArrow()
-        pairs = [(w, n) for w, n in zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True) if w != END]
+        # Words by how frequent they are, in steps of a 64th of a doubling: as
+        # many steps as fit are taken whole, so no sort is needed to choose.
+        step = F.floor(F.log2("n") * 64).cast("int")
+        sizes = sorted(((r["s"], r["count"]) for r in counts.groupBy(step.alias("s")).count().collect()), reverse=True)
+        room, least = DICTIONARY, None
+        for s, size in sizes:
+            room -= size
+            if room < 0:
+                break
+            least = s
+        top = counts.filter(step >= F.lit(least)).toArrow() if least is not None else counts.limit(0).toArrow()
+        pairs = sorted(((w, n) for w, n in zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True) if w != END), key=lambda x: (-x[1], x[0]))
         ends = counts.filter(F.col("word") == F.lit(END)).first()
         pairs.insert(0, (END, ends["n"] if ends else 0))
         kind = F.pmod(F.crc32(F.substring("word", 1, 2)), F.lit(TAIL)).cast("int")
@@ -103,8 +114,9 @@ class Vocabulary:
 
     def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Places in the dictionary (-1: not there), symbols (with the end's), words not there."""
-        get = self.places.get
-        at = np.array([get(w, -1) for w in words] + [0], np.int64)
+        at = np.empty(len(words) + 1, np.int64)
+        at[:-1] = np.fromiter(map(self.places.get, words, itertools.repeat(-1)), np.int64, len(words))
+        at[-1] = 0
         symbols = self.symbols[at]
         missing = np.flatnonzero(at < 0)
         rare = [words[k] for k in missing]
@@ -112,21 +124,27 @@ class Vocabulary:
         return at, symbols, rare
 
 
-def windows(symbols: np.ndarray, turn: int, salt: int, start: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def windows(words: list[bytes], v: Vocabulary, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(inputs, targets) of a text's windows of this round, each after the one before it.
 
-    The earlier window has targets -1: it only brings the state along.
+    The earlier window has targets -1: it only brings the state along. Only the
+    words of windows that are taken are looked up.
     """
-    w = gru.WINDOW
-    n = -(-len(symbols) // w)
-    mine = np.flatnonzero(((salt + np.arange(n) * 2654435761) >> 9) % EVERY == turn)
-    before = np.concatenate([[start], symbols[:-1]])
-    for k in mine:
-        low, high = max(0, (k - 1) * w), min(len(symbols), (k + 1) * w)
+    w, size = gru.WINDOW, len(words) + 1
+    salt = zlib.crc32(b" ".join(words[:8])) + size
+    mine = np.flatnonzero(((salt + np.arange(-(-size // w)) * 2654435761) >> 9) % EVERY == turn)
+    for k in mine.tolist():
+        low, high = max(0, (k - 1) * w), min(size, (k + 1) * w)
+        # The last symbol is the end's, which is in the window only if the text's end is.
+        symbols = v.encoded(words[max(0, low - 1) : high])[1]
+        if high < size:
+            symbols = symbols[:-1]
+        before = symbols[:-1] if low else np.concatenate([[v.shape.symbols], symbols[:-1]])
+        after = symbols[1:] if low else symbols
         at = w - (k * w - low)
         x, y = np.full(2 * w, -1), np.full(2 * w, -1)
-        x[at : at + high - low] = before[low:high]
-        y[w : w + high - k * w] = symbols[k * w : high]
+        x[at : at + high - low] = before
+        y[w : w + high - k * w] = after[k * w - low :]
         yield x, y
 
 
@@ -151,10 +169,7 @@ def trained(texts: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
 
             for batch in batches:
                 for text in batch.column(0):
-                    words = tokens(text.as_py())
-                    symbols = v.encoded(words)[1]
-                    salt = zlib.crc32(b" ".join(words[:8])) + len(words)
-                    for pair in windows(symbols, turn, salt, v.shape.symbols):
+                    for pair in windows(tokens(text.as_py()), v, turn):
                         open_.append(pair)
                         if len(open_) == LANES:
                             n += update()
@@ -225,7 +240,7 @@ def scored(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
     # The keys are drawn once, in the table that is written here.
     made = written(rows.select("doc_id", "text").mapInArrow(score, schema), "lm-scores")
     rare = made.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
-    seen = counts.filter(F.col("n") <= int(vocabulary.counts[1:].min()) if len(vocabulary.counts) > DICTIONARY // 2 else F.lit(True))
+    seen = counts.filter(F.col("n") <= int(vocabulary.counts[1:].min()) if len(vocabulary.counts) > 1 and vocabulary.distinct > len(vocabulary.counts) else F.lit(True))
     joined = rare.join(seen, "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known")
     )
