@@ -41,7 +41,7 @@ def note(code: str, start: int, end: int, message: str) -> dict:
     return {"code": code, "span": {"start": start, "end": end}, "message": message}
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     """``items``: segments of text and elements, in order; ``notes``: what is wrong at this level."""
 
