@@ -109,13 +109,25 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
         label = merged(label, a[picks], b[picks])
 
 
-def compared(left: np.ndarray, right: np.ndarray, same: bool, radius: int, wide_radius: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A spanning forest of the links of two tiles: values and distances.
+def forests(count: int, n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Indices of so many forests, each of the links that those before it left."""
+    left, chosen = np.arange(len(i)), [np.zeros(0, np.int64)]
+    for _ in range(count):
+        picks = left[forest(n, i[left], j[left], d[left])]
+        chosen.append(picks)
+        left = np.setdiff1d(left, picks, assume_unique=True)
+    return np.concatenate(chosen)
+
+
+def compared(left: np.ndarray, right: np.ndarray, same: bool, radius: int, wide_radius: int | None = None, count: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spanning forests of the links of two tiles: values and distances.
 
     Tiles have a row for each fingerprint and a column for each of its words.
     All pairs of first words are compared; what is within ``radius`` there is
-    held to ``wide_radius`` over all words.
+    held to ``wide_radius`` over all words. Rows are taken in the order of their
+    first words, so that ties fall alike in every run.
     """
+    left, right = left[np.argsort(left[:, 0])], right[np.argsort(right[:, 0])]
     both = left if same else np.concatenate([left, right])
     shift = 0 if same else len(left)
     first, second = left[:, 0].copy(), right[:, 0].copy()
@@ -136,7 +148,7 @@ def compared(left: np.ndarray, right: np.ndarray, same: bool, radius: int, wide_
             row, col, dist = row[near], col[near], dist[near]
         if len(row):
             i, j, d = np.concatenate([i, row]), np.concatenate([j, col + shift]), np.concatenate([d, dist])
-            keep = forest(len(both), i, j, d)
+            keep = forests(count, len(both), i, j, d)
             i, j, d = i[keep], j[keep], d[keep]
     return both[i, 0], both[j, 0], d
 
@@ -148,11 +160,12 @@ def counts_within(parts: int, radius: int) -> list[tuple[int, ...]]:
     return [x for x in found if x >= (0,) * parts]
 
 
-def linked(fps: DataFrame, radius: int = 2, parts: int = 4, tile_rows: int = 4096, wide_radius: int | None = None) -> DataFrame:
+def linked(fps: DataFrame, radius: int = 2, parts: int = 4, tile_rows: int = 4096, wide_radius: int | None = None, count: int = 1) -> DataFrame:
     """(a, b, distance): links that span all components of distinct ``fp``.
 
     With ``wide_radius`` a link also has no more differing bits than that over
-    ``fp`` and the words in ``more`` together.
+    ``fp`` and the words in ``more`` together. ``count`` disjoint forests of each
+    tile pair's links are given, for where a link may yet be discarded.
 
     Exact: fingerprints that differ in ``radius`` bits or fewer end in one
     component. ``parts``: into how many parts of equal width the population
@@ -191,7 +204,7 @@ def linked(fps: DataFrame, radius: int = 2, parts: int = 4, tile_rows: int = 409
         for batch in batches:
             for k in range(batch.num_rows):
                 x, y = (batch.column(c)[k].values.to_numpy().view(np.uint64).reshape(batch.column(c + 2)[k].as_py(), -1) for c in (0, 1))
-                a, b, d = compared(x, y, batch.column(4)[k].as_py(), radius, wide_radius)
+                a, b, d = compared(x, y, batch.column(4)[k].as_py(), radius, wide_radius, count)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(d.astype(np.int32))], ["a", "b", "distance"])
 
@@ -246,7 +259,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, parts: int
     return rows.join(of.join(by_root, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 17, width: int = 4, wide_radius: int = 54, tile_rows: int = 131072) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 17, width: int = 4, wide_radius: int = 54, tile_rows: int = 131072, count: int = 4) -> DataFrame:
     """One row of each group of near-duplicates: least doc_id, nulls last.
 
     Fingerprints of ``size``-word shingles have ``width`` words of 64 bits. At a
@@ -254,7 +267,8 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
     or less, and 9.7 of the first 64, 2.9 more or less; of texts that share
     nothing, 128. Pairs within both radii are candidates, and a link is a
     candidate whose shingle sets really have the similarity, or one fingerprint.
-    Needs doc_id and text; all columns stay.
+    Of a tile pair's candidates ``count`` disjoint spanning forests are looked
+    at, nearest first. Needs doc_id and text; all columns stay.
     """
     columns = docs.columns
     whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
@@ -262,7 +276,7 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
     rows = written(fingerprinted(keyed, size, ("doc_id", "key"), width=width), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("key").alias("key"), F.col("more").alias("more"))
     fps = written(rows.groupBy("fp").agg(F.min(order).alias("first")), "distinct-fingerprints")
-    links = linked(fps.select("fp", F.col("first.more").alias("more")), radius, 1, tile_rows, wide_radius)
+    links = linked(fps.select("fp", F.col("first.more").alias("more")), radius, 1, tile_rows, wide_radius, count)
     links = verified(links, keyed, fps.select("fp", F.col("first.key").alias("key")), size, similarity)
     of = classes(fps, links)
     stays = of.join(fps, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
