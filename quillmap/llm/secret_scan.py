@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, text_or_empty
+from .common import let, text_or_empty, written
 
 MASK = "[SECRET]"
 SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
@@ -145,7 +145,9 @@ def with_findings(docs: DataFrame, ledger: DataFrame, text: str = "text", rules:
     hits = hits.withColumn("kind", F.try_element_at(order, F.concat_ws("@", "f.kind", "f.version"))).filter("kind IS NOT NULL")
     by_blob = hits.groupBy("blob_id").agg(F.sort_array(F.collect_set(F.struct("f.start", "kind", "f.end"))).alias("secrets"))
     keyed = docs.drop("secrets").withColumn("__blob", blob_id(F.col(text)))
-    joined = keyed.join(by_blob.withColumnRenamed("blob_id", "__blob"), "__blob", "left").drop("__blob")
+    # Written, so that both sides of the join are plain exchanges: a blob that a
+    # third of all paths share can then be split among tasks.
+    joined = keyed.join(written(by_blob.withColumnRenamed("blob_id", "__blob"), "secret-findings"), "__blob", "left").drop("__blob")
     return joined.withColumn("secrets", F.coalesce(F.col("secrets").cast(SPANS), F.array().cast(SPANS)))
 
 
