@@ -113,25 +113,47 @@ def forests(count: int, n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) ->
     """Indices of so many forests, each of the links that those before it left."""
     left, chosen = np.arange(len(i)), [np.zeros(0, np.int64)]
     for _ in range(count):
+        if not len(left):
+            break
         picks = left[forest(n, i[left], j[left], d[left])]
         chosen.append(picks)
         left = np.setdiff1d(left, picks, assume_unique=True)
     return np.concatenate(chosen)
 
 
-def compared(left: np.ndarray, right: np.ndarray, same: bool, radius: int, wide_radius: int | None = None, count: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compared(left: np.ndarray, right: np.ndarray, same: bool, radius: int, wide_radius: int | None = None, count: int = 1, roots: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spanning forests of the links of two tiles: values and distances.
 
     Tiles have a row for each fingerprint and a column for each of its words.
     All pairs of first words are compared; what is within ``radius`` there is
     held to ``wide_radius`` over all words. Rows are taken in the order of their
     first words, so that ties fall alike in every run.
+
+    With ``roots`` a last column has what each row is known to be linked to:
+    rows of one root make no link. A value that has links outside the forests is
+    then given with the least value of its component here and distance -1.
     """
     left, right = left[np.argsort(left[:, 0])], right[np.argsort(right[:, 0])]
     both = left if same else np.concatenate([left, right])
     shift = 0 if same else len(left)
     first, second = left[:, 0].copy(), right[:, 0].copy()
+    wide = slice(1, -1) if roots else slice(1, None)
     i = j = d = np.zeros(0, np.int64)
+    cut = np.zeros(len(both), bool)
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    waiting = 0
+
+    def thinned() -> None:
+        nonlocal i, j, d, waiting
+        i, j, d = (np.concatenate(x) for x in zip((i, j, d), *held, strict=True))
+        held.clear()
+        waiting = 0
+        keep = forests(count, len(both), i, j, d)
+        lost = np.ones(len(i), bool)
+        lost[keep] = False
+        cut[i[lost]] = cut[j[lost]] = True
+        i, j, d = i[keep], j[keep], d[keep]
+
     step = max(1, BLOCK // max(1, len(right)))
     for at in range(0, len(left), step):
         # Of a tile with itself, each pair is looked at from its earlier member.
@@ -142,15 +164,25 @@ def compared(left: np.ndarray, right: np.ndarray, same: bool, radius: int, wide_
         row, col = row + at, col + begin
         if same:
             row, col, dist = row[row < col], col[row < col], dist[row < col]
+        if roots and len(row):
+            apart = left[row, -1] != right[col, -1]
+            row, col, dist = row[apart], col[apart], dist[apart]
         if wide_radius is not None and len(row):
-            dist = dist + np.bitwise_count(left[row, 1:] ^ right[col, 1:]).sum(axis=1, dtype=np.int64)
+            dist = dist + np.bitwise_count(left[row, wide] ^ right[col, wide]).sum(axis=1, dtype=np.int64)
             near = dist <= wide_radius
             row, col, dist = row[near], col[near], dist[near]
         if len(row):
-            i, j, d = np.concatenate([i, row]), np.concatenate([j, col + shift]), np.concatenate([d, dist])
-            keep = forests(count, len(both), i, j, d)
-            i, j, d = i[keep], j[keep], d[keep]
-    return both[i, 0], both[j, 0], d
+            held.append((row, col + shift, dist))
+            waiting += len(row)
+            if waiting > max(BLOCK, len(i)):
+                thinned()
+    if held:
+        thinned()
+    if not roots:
+        return both[i, 0], both[j, 0], d
+    places = np.flatnonzero(cut)
+    least = merged(np.arange(len(both)), i, j)[places]
+    return np.concatenate([both[i, 0], both[places, 0]]), np.concatenate([both[j, 0], both[least, 0]]), np.concatenate([d, np.full(len(places), -1)])
 
 
 def counts_within(parts: int, radius: int) -> list[tuple[int, ...]]:
@@ -160,12 +192,15 @@ def counts_within(parts: int, radius: int) -> list[tuple[int, ...]]:
     return [x for x in found if x >= (0,) * parts]
 
 
-def linked(fps: DataFrame, radius: int = 2, parts: int = 4, tile_rows: int = 4096, wide_radius: int | None = None, count: int = 1) -> DataFrame:
+def linked(fps: DataFrame, radius: int = 2, parts: int = 4, tile_rows: int = 4096, wide_radius: int | None = None, count: int = 1, root: str | None = None) -> DataFrame:
     """(a, b, distance): links that span all components of distinct ``fp``.
 
     With ``wide_radius`` a link also has no more differing bits than that over
     ``fp`` and the words in ``more`` together. ``count`` disjoint forests of each
-    tile pair's links are given, for where a link may yet be discarded.
+    tile pair's links are given, for where a link may yet be discarded. With
+    ``root``, a column of longs, rows that share it are not linked, and rows of
+    distance -1 tell which values have links outside the forests (see
+    :func:`compared`).
 
     Exact: fingerprints that differ in ``radius`` bits or fewer end in one
     component. ``parts``: into how many parts of equal width the population
@@ -178,6 +213,7 @@ def linked(fps: DataFrame, radius: int = 2, parts: int = 4, tile_rows: int = 409
     part = [F.bit_count(F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit(mask).cast("long"))).cast("long") if width < 64 else F.bit_count("fp").cast("long") for k in range(parts)]
     sig = sum((p * base**k for k, p in enumerate(part)), F.lit(0).cast("long"))
     more = F.col("more") if wide_radius is not None else F.array().cast("array<bigint>")
+    more = F.concat(more, F.array(root)) if root else more
     rows = fps.select("fp", more.alias("more"), sig.alias("sig"))
     sizes = written(rows.groupBy("sig").count().select("sig", F.ceil(F.col("count") / tile_rows).cast("int").alias("chunks")), "signatures")
     few = (width + 1) ** parts <= 100_000  # all the signatures there can be
@@ -204,7 +240,7 @@ def linked(fps: DataFrame, radius: int = 2, parts: int = 4, tile_rows: int = 409
         for batch in batches:
             for k in range(batch.num_rows):
                 x, y = (batch.column(c)[k].values.to_numpy().view(np.uint64).reshape(batch.column(c + 2)[k].as_py(), -1) for c in (0, 1))
-                a, b, d = compared(x, y, batch.column(4)[k].as_py(), radius, wide_radius, count)
+                a, b, d = compared(x, y, batch.column(4)[k].as_py(), radius, wide_radius, count, root is not None)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(d.astype(np.int32))], ["a", "b", "distance"])
 
@@ -237,6 +273,32 @@ def verified(links: DataFrame, docs: DataFrame, first: DataFrame, size: int, sim
     return pair.filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b", "distance")
 
 
+def verified_links(fps: DataFrame, docs: DataFrame, first: DataFrame, size: int, similarity: float, radius: int, tile_rows: int, wide_radius: int, count: int) -> DataFrame:
+    """Verified links that join all candidates which have the similarity.
+
+    Of each tile pair's candidates ``count`` forests are verified, nearest
+    first. Where candidates outside them may join what the verified links leave
+    apart, their ends alone are compared again, for eight times as many forests,
+    until no candidate between two components is left that was not verified.
+    """
+    spark = fps.sparkSession
+    known = spark.createDataFrame([], "a long, b long, distance int")
+    rows = fps.select("fp", "more", F.col("fp").alias("root"))
+    while True:
+        made = written(linked(rows, radius, 1, tile_rows, wide_radius, count, "root"), "simhash-links")
+        known = written(known.unionByName(verified(made.filter("distance >= 0"), docs, first, size, similarity)), "simhash-verified")
+        cut = made.filter("distance < 0").select(F.col("a").alias("fp"), F.col("b").alias("near")).distinct()
+        if cut.isEmpty():
+            return known
+        cut = written(classes(cut.select("fp").distinct(), known).join(cut, "fp"), "simhash-cut")
+        apart = cut.groupBy("near").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("near")
+        again = joined_small(cut, written(apart, "simhash-apart"), "near").select("fp", "root").distinct()
+        rows = written(again.join(fps.select("fp", "more"), "fp"), "simhash-again")
+        if rows.isEmpty():
+            return known
+        count *= 8
+
+
 def classes(fps: DataFrame, links: DataFrame) -> DataFrame:
     """(fp, root): the least fingerprint of each one's component."""
     roots = written(components(links), "simhash-roots")
@@ -267,8 +329,8 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
     or less, and 9.7 of the first 64, 2.9 more or less; of texts that share
     nothing, 128. Pairs within both radii are candidates, and a link is a
     candidate whose shingle sets really have the similarity, or one fingerprint.
-    Of a tile pair's candidates ``count`` disjoint spanning forests are looked
-    at, nearest first. Needs doc_id and text; all columns stay.
+    Every candidate is verified unless verified links join its ends already
+    (see :func:`verified_links`). Needs doc_id and text; all columns stay.
     """
     columns = docs.columns
     whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
@@ -276,8 +338,8 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
     rows = written(fingerprinted(keyed, size, ("doc_id", "key"), width=width), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("key").alias("key"), F.col("more").alias("more"))
     fps = written(rows.groupBy("fp").agg(F.min(order).alias("first")), "distinct-fingerprints")
-    links = linked(fps.select("fp", F.col("first.more").alias("more")), radius, 1, tile_rows, wide_radius, count)
-    links = verified(links, keyed, fps.select("fp", F.col("first.key").alias("key")), size, similarity)
+    known = fps.select("fp", F.col("first.more").alias("more"))
+    links = verified_links(known, keyed, fps.select("fp", F.col("first.key").alias("key")), size, similarity, radius, tile_rows, wide_radius, count)
     of = classes(fps, links)
     stays = of.join(fps, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
     return keyed.select("key", "row").join(stays, "key").dropDuplicates(["key"]).select("row.*")

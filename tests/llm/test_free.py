@@ -233,6 +233,25 @@ def test_one_of_each(spark, odd, none):
     assert simhash.one_of_each(none).count() == 0
 
 
+def test_links_among_many_candidates_that_are_none(spark):
+    """Texts that share a template just under the bound, and true pairs among them."""
+    r = random.Random(2)
+    fresh = lambda n: [f"w{r.getrandbits(40)}" for _ in range(n)]
+    template, rows = fresh(247), []
+    for k in range(300):
+        words = template + fresh(37)
+        rows.append((k, " ".join(words)))
+        if k < 20:
+            rows.append((1000 + k, " ".join(words[:-28] + fresh(28))))
+    shingled = {d: frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for d, t in rows}
+    alike = lambda a, b: len(shingled[a] & shingled[b]) >= 0.8 * len(shingled[a] | shingled[b])
+    twins = {1000 + k for k in range(20) if alike(k, 1000 + k)}
+    assert not any(alike(a, b) for a in range(300) for b in range(a))
+    got = {x["doc_id"] for x in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = got & twins
+    assert len(twins) == 20 and len(missed) <= 1  # SimHash may miss a pair near the bound
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
