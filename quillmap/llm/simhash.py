@@ -9,6 +9,7 @@ so that a group of thousands of copies costs its size and not its square.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -54,6 +55,14 @@ def wide_fingerprint(text: str | None, size: int = 3, width: int = 1) -> np.ndar
     return np.packbits(2 * total > n, axis=1, bitorder="little").view("<u8").ravel()
 
 
+def set_id(text: str | None, size: int) -> int:
+    """64 bits that stand for a text's set of shingles."""
+    w = (text or "").encode().lower().split()
+    grams = {b" ".join(w)} if 0 < len(w) < size else set(map(b" ".join, zip(*(w[k:] for k in range(size)), strict=False)))
+    hashed = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)))
+    return int.from_bytes(hashlib.blake2b(hashed.astype("<u8").tobytes(), digest_size=8).digest(), "little")
+
+
 def fingerprint(text: str | None, size: int = 3) -> int:
     return int(wide_fingerprint(text, size)[0])
 
@@ -63,17 +72,21 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.sha2(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), text_or_empty(text)).cast("binary"), 256)
 
 
-def fingerprinted(docs: DataFrame, size: int = 3, carry: tuple[str, ...] = ("doc_id",), text: str = "text", width: int = 1) -> DataFrame:
-    """The carried columns, ``fp`` (64 bits as a long) and ``more`` (the words after it)."""
+def fingerprinted(docs: DataFrame, size: int = 3, carry: tuple[str, ...] = ("doc_id",), text: str = "text", width: int = 1, sets: bool = False) -> DataFrame:
+    """The carried columns, ``fp`` (64 bits as a long) and ``more`` (the words after it).
+
+    With ``sets`` also ``node``: what rows of one set of shingles have in common.
+    """
     rows = docs.select(*carry, F.col(text).alias("__text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1]) + ", fp long, more array<long>"
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1]) + ", fp long, more array<long>" + ", node long" * sets
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             fps = np.array([wide_fingerprint(t.as_py(), size, width) for t in texts], np.uint64).view(np.int64).reshape(-1, width)
             more = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * (width - 1)), pa.array(fps[:, 1:].ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps[:, 0].copy()), more], names=[*carry, "fp", "more"])
+            node = [pa.array(np.array([set_id(t.as_py(), size) for t in texts], np.uint64).view(np.int64))] if sets else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps[:, 0].copy()), more, *node], names=[*carry, "fp", "more", *["node"] * sets])
 
     return rows.mapInArrow(hashed, schema)
 
@@ -129,15 +142,17 @@ def compared(left: np.ndarray, right: np.ndarray, same: bool, radius: int, wide_
     held to ``wide_radius`` over all words. Rows are taken in the order of their
     first words, so that ties fall alike in every run.
 
-    With ``roots`` a last column has what each row is known to be linked to:
-    rows of one root make no link. A value that has links outside the forests is
-    then given with the least value of its component here and distance -1.
+    With ``roots`` the last two columns have each row's node, which is given in
+    place of its first word, and what the node is known to be linked to: rows of
+    one root make no link. A node that has links outside the forests is then
+    given with the least node of its component here and distance -1.
     """
-    left, right = left[np.argsort(left[:, 0])], right[np.argsort(right[:, 0])]
+    name = -2 if roots else 0
+    left, right = (x[np.lexsort((x[:, name], x[:, 0]))] for x in (left, right))
     both = left if same else np.concatenate([left, right])
     shift = 0 if same else len(left)
     first, second = left[:, 0].copy(), right[:, 0].copy()
-    wide = slice(1, -1) if roots else slice(1, None)
+    wide = slice(1, name) if roots else slice(1, None)
     i = j = d = np.zeros(0, np.int64)
     cut = np.zeros(len(both), bool)
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -179,10 +194,10 @@ def compared(left: np.ndarray, right: np.ndarray, same: bool, radius: int, wide_
     if held:
         thinned()
     if not roots:
-        return both[i, 0], both[j, 0], d
+        return both[i, name], both[j, name], d
     places = np.flatnonzero(cut)
     least = merged(np.arange(len(both)), i, j)[places]
-    return np.concatenate([both[i, 0], both[places, 0]]), np.concatenate([both[j, 0], both[least, 0]]), np.concatenate([d, np.full(len(places), -1)])
+    return np.concatenate([both[i, name], both[places, name]]), np.concatenate([both[j, name], both[least, name]]), np.concatenate([d, np.full(len(places), -1)])
 
 
 def counts_within(parts: int, radius: int) -> list[tuple[int, ...]]:
@@ -198,9 +213,9 @@ def linked(fps: DataFrame, radius: int = 2, parts: int = 4, tile_rows: int = 409
     With ``wide_radius`` a link also has no more differing bits than that over
     ``fp`` and the words in ``more`` together. ``count`` disjoint forests of each
     tile pair's links are given, for where a link may yet be discarded. With
-    ``root``, a column of longs, rows that share it are not linked, and rows of
-    distance -1 tell which values have links outside the forests (see
-    :func:`compared`).
+    ``root``, a column of longs, rows that share it are not linked, links are of
+    ``node`` in place of ``fp``, which may then repeat, and rows of distance -1
+    tell which nodes have links outside the forests (see :func:`compared`).
 
     Exact: fingerprints that differ in ``radius`` bits or fewer end in one
     component. ``parts``: into how many parts of equal width the population
@@ -213,12 +228,12 @@ def linked(fps: DataFrame, radius: int = 2, parts: int = 4, tile_rows: int = 409
     part = [F.bit_count(F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit(mask).cast("long"))).cast("long") if width < 64 else F.bit_count("fp").cast("long") for k in range(parts)]
     sig = sum((p * base**k for k, p in enumerate(part)), F.lit(0).cast("long"))
     more = F.col("more") if wide_radius is not None else F.array().cast("array<bigint>")
-    more = F.concat(more, F.array(root)) if root else more
-    rows = fps.select("fp", more.alias("more"), sig.alias("sig"))
+    more = F.concat(more, F.array("node", root)) if root else more
+    rows = fps.select("fp", more.alias("more"), sig.alias("sig"), F.col("node" if root else "fp").alias("own"))
     sizes = written(rows.groupBy("sig").count().select("sig", F.ceil(F.col("count") / tile_rows).cast("int").alias("chunks")), "signatures")
     few = (width + 1) ** parts <= 100_000  # all the signatures there can be
     small = F.broadcast if few else (lambda df: df)
-    placed = rows.join(small(sizes), "sig").select("sig", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("chunk"), F.concat(F.array("fp"), "more").alias("words"))
+    placed = rows.join(small(sizes), "sig").select("sig", F.pmod(F.xxhash64("own"), F.col("chunks")).cast("int").alias("chunk"), F.concat(F.array("fp"), "more").alias("words"))
     tiles = written(placed.groupBy("sig", "chunk").agg(F.count(F.lit(1)).alias("rows"), F.flatten(F.collect_list("words")).alias("fps")), "tiles")
     offsets = [sum(x * base**k for k, x in enumerate(d)) for d in counts_within(parts, radius)]
     near = F.array(*[F.lit(x).cast("long") for x in offsets])
@@ -261,14 +276,14 @@ def shingles(text: Column, size: int) -> Column:
 def verified(links: DataFrame, docs: DataFrame, first: DataFrame, size: int, similarity: float) -> DataFrame:
     """Links between texts whose shingle sets have that Jaccard similarity.
 
-    ``first`` has (fp, key): the row of ``docs`` (with its ``key``) that stands
-    for a fingerprint. Two texts without words are alike.
+    ``first`` has (node, key): the row of ``docs`` (with its ``key``) that stands
+    for a node. Two texts without words are alike.
     """
     links = written(links, "simhash-candidates")
-    nodes = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).distinct().join(first, "fp")
-    texts = joined_small(docs.select("key", "text"), written(nodes, "simhash-nodes"), "key").dropDuplicates(["fp"])
-    sets = written(texts.select("fp", shingles(F.col("text"), size).alias("s")), "simhash-shingles")
-    pair = links.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b")
+    nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct().join(first, "node")
+    texts = joined_small(docs.select("key", "text"), written(nodes, "simhash-nodes"), "key").dropDuplicates(["node"])
+    sets = written(texts.select("node", shingles(F.col("text"), size).alias("s")), "simhash-shingles")
+    pair = links.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return pair.filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b", "distance")
 
@@ -283,27 +298,27 @@ def verified_links(fps: DataFrame, docs: DataFrame, first: DataFrame, size: int,
     """
     spark = fps.sparkSession
     known = spark.createDataFrame([], "a long, b long, distance int")
-    rows = fps.select("fp", "more", F.col("fp").alias("root"))
+    rows = fps.select("node", "fp", "more", F.col("node").alias("root"))
     while True:
         made = written(linked(rows, radius, 1, tile_rows, wide_radius, count, "root"), "simhash-links")
         known = written(known.unionByName(verified(made.filter("distance >= 0"), docs, first, size, similarity)), "simhash-verified")
-        cut = made.filter("distance < 0").select(F.col("a").alias("fp"), F.col("b").alias("near")).distinct()
+        cut = made.filter("distance < 0").select(F.col("a").alias("node"), F.col("b").alias("near")).distinct()
         if cut.isEmpty():
             return known
-        cut = written(classes(cut.select("fp").distinct(), known).join(cut, "fp"), "simhash-cut")
+        cut = written(classes(cut.select("node").distinct(), known, "node").join(cut, "node"), "simhash-cut")
         apart = cut.groupBy("near").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("near")
-        again = joined_small(cut, written(apart, "simhash-apart"), "near").select("fp", "root").distinct()
-        rows = written(again.join(fps.select("fp", "more"), "fp"), "simhash-again")
+        again = joined_small(cut, written(apart, "simhash-apart"), "near").select("node", "root").distinct()
+        rows = written(again.join(fps.select("node", "fp", "more"), "node"), "simhash-again")
         if rows.isEmpty():
             return known
         count *= 8
 
 
-def classes(fps: DataFrame, links: DataFrame) -> DataFrame:
-    """(fp, root): the least fingerprint of each one's component."""
-    roots = written(components(links), "simhash-roots")
-    joined = fps.select("fp").join(roots, F.col("fp") == F.col("node"), "left")
-    return joined.select("fp", F.coalesce("root", "fp").alias("root"))
+def classes(fps: DataFrame, links: DataFrame, of: str = "fp") -> DataFrame:
+    """(fp, root): the least fingerprint of each one's component (or of another column)."""
+    roots = written(components(links).withColumnRenamed("node", "__node"), "simhash-roots")
+    joined = fps.select(of).join(roots, F.col(of) == F.col("__node"), "left")
+    return joined.select(of, F.coalesce("root", of).alias("root"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, parts: int = 4, tile_rows: int = 4096, text: str = "text") -> DataFrame:
@@ -328,18 +343,19 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
     Jaccard similarity of 0.8 SimHash expects 39 of 256 bits to differ, 5.7 more
     or less, and 9.7 of the first 64, 2.9 more or less; of texts that share
     nothing, 128. Pairs within both radii are candidates, and a link is a
-    candidate whose shingle sets really have the similarity, or one fingerprint.
+    candidate whose shingle sets really have the similarity. Rows of one set are
+    one node; rows of one fingerprint are candidates like others.
     Every candidate is verified unless verified links join its ends already
     (see :func:`verified_links`). Needs doc_id and text; all columns stay.
     """
     columns = docs.columns
     whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
     keyed = docs.select("doc_id", "text", row_key().alias("key"), whole)
-    rows = written(fingerprinted(keyed, size, ("doc_id", "key"), width=width), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("key").alias("key"), F.col("more").alias("more"))
-    fps = written(rows.groupBy("fp").agg(F.min(order).alias("first")), "distinct-fingerprints")
-    known = fps.select("fp", F.col("first.more").alias("more"))
-    links = verified_links(known, keyed, fps.select("fp", F.col("first.key").alias("key")), size, similarity, radius, tile_rows, wide_radius, count)
-    of = classes(fps, links)
-    stays = of.join(fps, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
+    rows = written(fingerprinted(keyed, size, ("doc_id", "key"), width=width, sets=True), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("key").alias("key"), F.col("fp").alias("fp"), F.col("more").alias("more"))
+    nodes = written(rows.groupBy("node").agg(F.min(order).alias("first")), "distinct-sets")
+    known = nodes.select("node", "first.fp", "first.more")
+    links = verified_links(known, keyed, nodes.select("node", F.col("first.key").alias("key")), size, similarity, radius, tile_rows, wide_radius, count)
+    of = classes(nodes, links, "node")
+    stays = of.join(nodes, "node").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
     return keyed.select("key", "row").join(stays, "key").dropDuplicates(["key"]).select("row.*")

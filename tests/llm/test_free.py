@@ -252,6 +252,16 @@ def test_links_among_many_candidates_that_are_none(spark):
     assert len(twins) == 20 and len(missed) <= 1  # SimHash may miss a pair near the bound
 
 
+def test_texts_of_one_fingerprint_are_verified(spark):
+    """A phrase that repeats fixes the fingerprint; the texts have little else in common."""
+    phrase = "one phrase said again here "
+    texts = [" ".join(f"w{k}x{n}" for n in range(20)) + " " + phrase * 200 for k in range(6)]
+    words = [simhash.wide_fingerprint(t, 5, 4) for t in texts]
+    assert len({w[0] for w in words}) < 6  # as counted with repeats
+    docs = spark.createDataFrame([*enumerate(texts), (9, texts[3].upper())], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == list(range(6))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
