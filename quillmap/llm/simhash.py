@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ from .components import components
 
 #: Comparisons at once: their bits stay in a core's cache.
 BLOCK = 1 << 19
+#: Shingles whose bits are unpacked at once.
+PART = 1 << 16
 
 
 def respun(h: np.ndarray, turn: int) -> np.ndarray:
@@ -35,19 +37,33 @@ def respun(h: np.ndarray, turn: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def wide_fingerprint(text: str | None, size: int = 3, width: int = 1) -> np.ndarray:
-    """The SimHash of a text's shingles of ``size`` words, repeats included.
+def shingle_hashes(text: str | None, size: int) -> Iterator[int]:
+    """XXH64 of each of a text's shingles of ``size`` words, repeats included.
 
-    ``width`` words of 64 bits; the first is that of the shingles' XXH64, the
-    others are of hashes spun from it. A text of fewer words has one shingle,
-    the words it has; one without words (or null) has zeros.
+    A text of fewer words has one shingle, the words it has; one without words
+    (or null) has none.
     """
     w = (text or "").encode().lower().split()
     if not w:
-        return np.zeros(width, np.uint64)
-    shingles = iter([b" ".join(w)]) if len(w) < size else map(b" ".join, zip(*(w[k:] for k in range(size)), strict=False))
-    digest, total, n = xxhash.xxh64_intdigest, np.zeros((width, 64), np.int64), 0
-    while len(h := np.fromiter([digest(s, 42) for s in itertools.islice(shingles, 1 << 16)], np.uint64)):
+        return iter(())
+    grams = iter([b" ".join(w)]) if len(w) < size else map(b" ".join, zip(*(w[k:] for k in range(size)), strict=False))
+    digest = xxhash.xxh64_intdigest
+    return (digest(s, 42) for s in grams)
+
+
+def chunked(hashes: Iterator[int]) -> Iterator[np.ndarray]:
+    while len(h := np.fromiter(itertools.islice(hashes, PART), np.uint64)):
+        yield h
+
+
+def sliced(hashes: np.ndarray) -> Iterator[np.ndarray]:
+    return (hashes[k : k + PART] for k in range(0, len(hashes), PART))
+
+
+def summed_signs(parts: Iterable[np.ndarray], width: int) -> np.ndarray:
+    """The SimHash of shingles by arrays of their hashes; zeros if there are none."""
+    total, n = np.zeros((width, 64), np.int64), 0
+    for h in parts:
         for k in range(width):
             bits = (respun(h, k) if k else h).astype("<u8").view(np.uint8).reshape(-1, 8)
             total[k] += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -55,12 +71,23 @@ def wide_fingerprint(text: str | None, size: int = 3, width: int = 1) -> np.ndar
     return np.packbits(2 * total > n, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def set_id(text: str | None, size: int) -> int:
-    """64 bits that stand for a text's set of shingles."""
-    w = (text or "").encode().lower().split()
-    grams = {b" ".join(w)} if 0 < len(w) < size else set(map(b" ".join, zip(*(w[k:] for k in range(size)), strict=False)))
-    hashed = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)))
-    return int.from_bytes(hashlib.blake2b(hashed.astype("<u8").tobytes(), digest_size=8).digest(), "little")
+def wide_fingerprint(text: str | None, size: int = 3, width: int = 1, distinct: bool = False) -> np.ndarray:
+    """The SimHash of a text's shingles of ``size`` words, repeats included.
+
+    ``width`` words of 64 bits; the first is that of the shingles' XXH64, the
+    others are of hashes spun from it. A text without words has zeros. With
+    ``distinct`` each shingle counts once, as in the Jaccard similarity.
+    """
+    hashes = shingle_hashes(text, size)
+    if distinct:
+        return summed_signs(sliced(np.unique(np.fromiter(hashes, np.uint64))), width)
+    return summed_signs(chunked(hashes), width)
+
+
+def with_set_id(text: str | None, size: int, width: int) -> tuple[np.ndarray, int]:
+    """The fingerprint of distinct shingles, and 64 bits that stand for their set."""
+    hashes = np.unique(np.fromiter(shingle_hashes(text, size), np.uint64))
+    return summed_signs(sliced(hashes), width), int.from_bytes(hashlib.blake2b(hashes.astype("<u8").tobytes(), digest_size=8).digest(), "little")
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -75,7 +102,8 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 def fingerprinted(docs: DataFrame, size: int = 3, carry: tuple[str, ...] = ("doc_id",), text: str = "text", width: int = 1, sets: bool = False) -> DataFrame:
     """The carried columns, ``fp`` (64 bits as a long) and ``more`` (the words after it).
 
-    With ``sets`` also ``node``: what rows of one set of shingles have in common.
+    With ``sets`` shingles count once, and there is ``node``: what rows of one set
+    of shingles have in common.
     """
     rows = docs.select(*carry, F.col(text).alias("__text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1]) + ", fp long, more array<long>" + ", node long" * sets
@@ -83,9 +111,10 @@ def fingerprinted(docs: DataFrame, size: int = 3, carry: tuple[str, ...] = ("doc
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            fps = np.array([wide_fingerprint(t.as_py(), size, width) for t in texts], np.uint64).view(np.int64).reshape(-1, width)
+            made = [with_set_id(t.as_py(), size, width) if sets else (wide_fingerprint(t.as_py(), size, width), 0) for t in texts]
+            fps = np.array([f for f, _ in made], np.uint64).view(np.int64).reshape(-1, width)
             more = pa.ListArray.from_arrays(pa.array(np.arange(len(fps) + 1, dtype=np.int32) * (width - 1)), pa.array(fps[:, 1:].ravel()))
-            node = [pa.array(np.array([set_id(t.as_py(), size) for t in texts], np.uint64).view(np.int64))] if sets else []
+            node = [pa.array(np.array([k for _, k in made], np.uint64).view(np.int64))] if sets else []
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps[:, 0].copy()), more, *node], names=[*carry, "fp", "more", *["node"] * sets])
 
     return rows.mapInArrow(hashed, schema)
@@ -339,7 +368,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, parts: int
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 17, width: int = 4, wide_radius: int = 54, tile_rows: int = 131072, count: int = 4) -> DataFrame:
     """One row of each group of near-duplicates: least doc_id, nulls last.
 
-    Fingerprints of ``size``-word shingles have ``width`` words of 64 bits. At a
+    Fingerprints of distinct ``size``-word shingles have ``width`` words of 64 bits. At a
     Jaccard similarity of 0.8 SimHash expects 39 of 256 bits to differ, 5.7 more
     or less, and 9.7 of the first 64, 2.9 more or less; of texts that share
     nothing, 128. Pairs within both radii are candidates, and a link is a

@@ -262,6 +262,16 @@ def test_texts_of_one_fingerprint_are_verified(spark):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == list(range(6))
 
 
+def test_copies_with_a_repeated_phrase_are_candidates(spark):
+    """The phrase adds few shingles to the set, though most of the text is of it."""
+    rows = []
+    for k in range(8):
+        text = " ".join(f"w{k}x{n}" for n in range(300))
+        rows += [(k, text), (100 + k, text + " one phrase said again here" * 40)]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(8))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
