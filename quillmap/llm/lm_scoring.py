@@ -30,9 +30,10 @@ END = b" "
 HEAD, TAIL = 1024, 32
 #: Words whose counts every worker holds. Counts of the others are joined.
 DICTIONARY = 1 << 18
-#: One window in so many is learned from in each round, at every input size.
-EVERY, ROUNDS = 16, 2
-LANES, RATE = 32, 0.015
+#: The rounds together learn from every window once.
+ROUNDS = 2
+#: So many windows make a step; a step's cost is mostly the same for fewer.
+LANES, RATE = 128, 0.015
 HELD = 200_000
 
 
@@ -132,7 +133,7 @@ def windows(words: list[bytes], v: Vocabulary, turn: int) -> Iterator[tuple[np.n
     """
     w, size = gru.WINDOW, len(words) + 1
     salt = zlib.crc32(b" ".join(words[:8])) + size
-    mine = np.flatnonzero(((salt + np.arange(-(-size // w)) * 2654435761) >> 9) % EVERY == turn)
+    mine = np.flatnonzero(((salt + np.arange(-(-size // w)) * 2654435761) >> 9) % ROUNDS == turn)
     for k in mine.tolist():
         low, high = max(0, (k - 1) * w), min(size, (k + 1) * w)
         # The last symbol is the end's, which is in the window only if the text's end is.

@@ -79,6 +79,19 @@ def test_scores(spark, odd, none, monkeypatch):
     assert lm_scoring.scored(odd, F.lit(False)).count() == len(ODD)
 
 
+def test_rounds_learn_from_every_window_once(spark):
+    texts = [prose(k, n) for k, n in enumerate([0, 1, 5, 31, 32, 33, 64, 500, 3000])]
+    counts = Counter(w for t in texts for w in [*lm_scoring.tokens(t), lm_scoring.END])
+    v = lm_scoring.Vocabulary.of(spark.createDataFrame([(bytearray(w), n) for w, n in counts.items()], "word binary, n long"))
+    for t in texts:
+        words = lm_scoring.tokens(t)
+        got = Counter()
+        for turn in range(lm_scoring.ROUNDS):
+            for _, y in lm_scoring.windows(words, v, turn):
+                got.update(y[y >= 0].tolist())
+        assert got == Counter(v.encoded(words)[1].tolist())
+
+
 def test_held_out_texts_are_likelier_than_by_frequency(spark):
     from quillmap.llm.queries import QUERIES
 
