@@ -30,7 +30,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each secret in their texts masked; n_chars follows."""
     docs = docs.select(*COLUMNS)
-    found = secret_scan.with_findings(docs, secret_scan.scanned(docs))
+    rules = secret_scan.MASKED_RULES
+    found = secret_scan.with_findings(docs, secret_scan.scanned(docs, rules=rules), rules=rules)
     masked = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("secrets")))
     length = F.when(F.size("secrets") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return masked.withColumn("n_chars", length).select(*COLUMNS)

@@ -55,6 +55,21 @@ RULES = (
     Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
 )
+#: Between lines of a key; line ends may be spelled as escapes.
+_GAP = r"(?:\s|\\[nr]){1,8}"
+#: With a private key's body: up to its END line or, where that is missing, as far
+#: as lines of base64 go. ``op9_secret_scan`` and its SQL keep the BEGIN line alone.
+MASKED_RULES = tuple(
+    r
+    if r.kind != "private_key"
+    else Rule(
+        r.kind,
+        2,
+        rf"{r.pattern}(?:[^-]*+(?:-{{1,4}}[^-]+){{0,8}}-----END [A-Z ]*PRIVATE KEY-----"
+        rf"|(?:{_GAP}(?:Proc-Type|DEK-Info):[^\r\n]*){{0,2}}(?:{_GAP}[A-Za-z0-9+/=]{{16,}}){{0,1000}}(?:{_GAP}[A-Za-z0-9+/]*={{1,2}})?)",
+    )
+    for r in RULES
+)
 
 
 def running(values: Column, join, zero: Column, chunk: int = 128) -> Column:

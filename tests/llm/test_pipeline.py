@@ -45,6 +45,22 @@ def test_stages(spark, small):
     assert decontamination.WINDOW == 100
 
 
+def test_private_keys_are_masked_whole(spark, small):
+    lines = ["MIIEpAIBAAKCAQEA" + "aB3/+" * 9, "Zq" * 30, "short+tail=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join(lines)
+    texts = [
+        f"before {begin}\n{body}\n{end} after",
+        f"before {begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{body}\n{end} after",
+        f"before {begin}\\n{lines[0]}\\n{lines[1]}\\n{end} after",
+        f"before {begin}\n{body} after",
+        f"before {begin} after all that",
+    ]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.secrets_masked(spark, docs, small).collect()}
+    assert got == {k: "before [SECRET] after" + (" all that" if k == 4 else "") for k in range(5)}
+
+
 def test_run(spark, small):
     rows = corpus_pipeline.run(spark, small).collect()
     assert rows == [] or set(rows[0].asDict()) == {*corpus_pipeline.COLUMNS, "copy"}
