@@ -4,7 +4,9 @@ A window of a benchmark item and a passage within e edits of it share at least
 m - q + 1 - q * e of the window's q-grams (m characters), and these lie in e + 1
 neighbouring diagonals. Shared q-grams are counted in overlapping bands of
 diagonals; only bands that reach the bound are verified, by alignment within the
-band. Characters are bytes of a normal form: ASCII letters in lower case, every
+band. Besides, what is copied word for word is found at every offset of an item:
+shared q-grams that follow each other on one diagonal are a verbatim run, and one
+of 13 words or of a window's length is a leak. Characters are bytes of a normal form: ASCII letters in lower case, every
 run of ASCII that is no letter or digit one blank, other bytes as they are.
 """
 
@@ -23,6 +25,8 @@ Q = 8
 WINDOW, STRIDE = 100, 50
 #: Edits allowed in a window, in hundredths of its length.
 EDITS = 8
+#: Words of an item in a row that are a leak if they are copied exactly.
+VERBATIM = 13
 #: Items shorter than this say too little to be a leak.
 LEAST = 24
 #: Normal bytes worked on at once, and benchmark bytes indexed at once.
@@ -62,6 +66,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.item, self.text, found, owner, offset = [], [], [], [], []
+        self.whole, whole_of, start, began, ended, base = [], [], [], [], [], [0]
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             whole = normal(raw, np.array([0, len(raw)]))[0]
@@ -69,6 +74,11 @@ class Index:
                 whole = whole[:-1]
             if len(whole) < LEAST:
                 continue
+            # Word starts before, and word ends up to, each place of the item.
+            inner, edge = whole != 32, np.zeros(1, bool)
+            began.append(np.cumsum(np.concatenate([[0], inner & ~np.concatenate([edge, inner[:-1]])])))
+            ended.append(np.cumsum(np.concatenate([[0], inner & ~np.concatenate([inner[1:], edge])])))
+            base.append(base[-1] + len(whole) + 1)
             last = max(0, len(whole) - WINDOW)
             for at in sorted({*range(0, last, STRIDE), last}):
                 part = whole[at : at + WINDOW]
@@ -78,8 +88,13 @@ class Index:
                 offset.append(np.arange(len(g)))
                 self.item.append(item)
                 self.text.append(part)
+                whole_of.append(len(self.whole))
+                start.append(at)
+            self.whole.append(item)
         self.size = np.array([len(t) for t in self.text], np.int64)
         self.edits = self.size * EDITS // 100
+        self.whole_of, self.start, self.base = (np.array(x, np.int64) for x in (whole_of, start, base))
+        self.began, self.ended = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (began, ended))
         self.need = np.maximum(1, self.size - Q + 1 - Q * self.edits)
         g = np.concatenate(found) if found else np.zeros(0, np.uint64)
         order = np.argsort(g, kind="stable")
@@ -101,14 +116,36 @@ class Index:
         into = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[k], n)
         return np.repeat(at, n), self.owner[into], self.offset[into]
 
+    def verbatim(self, text: np.ndarray, at: np.ndarray, win: np.ndarray, off: np.ndarray, wide: int) -> list[tuple[int, int, int]]:
+        """(text, -1 - item's place, 0) of texts that copy enough of an item exactly."""
+        whole, place = self.whole_of[win], self.start[win] + off
+        # A text's place fixes the text; windows overlap, so hits repeat.
+        longest = int(np.diff(self.base).max())
+        key = np.unique((whole * (wide + longest) + at - place + longest) * wide + at)
+        first = np.flatnonzero(np.diff(key, prepend=-2) != 1)
+        n = np.diff(first, append=len(key))
+        long_ = n + Q - 1 >= min(2 * VERBATIM - 1, WINDOW)
+        k, n = key[first[long_]], n[long_]
+        at_, diagonal = k % wide, k // wide
+        whole, place = diagonal // (wide + longest), at_ - (diagonal % (wide + longest) - longest)
+        low, high = self.base[whole] + place, self.base[whole] + place + n + Q - 1
+        ok = (self.ended[high] - self.began[low] >= VERBATIM) | (n + Q - 1 >= WINDOW)
+        which = np.unique(at, return_index=True)
+        owner = text[which[1][np.searchsorted(which[0], at_[ok])]]
+        return [(int(t), -1 - int(w), 0) for t, w in zip(owner, whole[ok], strict=True)]
+
     def matches(self, data: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
-        """(text, window, edits) of passages found; ``starts`` has the texts' bounds."""
+        """(text, window, edits) of passages found; ``starts`` has the texts' bounds.
+
+        A verbatim run has its item's place, negative and from -1, for a window.
+        """
         at, win, off = self.hits(data)
         text = np.searchsorted(starts, at, side="right") - 1
         inside = at + Q <= starts[text + 1]
         at, win, off, text = at[inside], win[inside], off[inside], text[inside]
         if not len(at):
             return []
+        exact = self.verbatim(text, at, win, off, len(data) + 1)
         step = self.edits[win] + 1
         band = (at - off + WINDOW) // step  # diagonals may begin before the text
         wide = len(data) + 2 * WINDOW
@@ -117,7 +154,7 @@ class Index:
         pair, band = key // wide, key % wide
         text, win = pair // len(self.size), pair % len(self.size)
         ok = count >= self.need[win]
-        return self.aligned(data, starts, text[ok], win[ok], band[ok])
+        return exact + self.aligned(data, starts, text[ok], win[ok], band[ok])
 
     def aligned(self, data, starts, text, win, band) -> list[tuple[int, int, int]]:
         """Those candidates whose band holds an alignment within the budget."""
@@ -173,10 +210,10 @@ def found_in(column: pa.Array, index: Index) -> list[tuple[int, int, int, int]]:
         for text, win, edits in index.matches(data[a:b], inner):
             key = int(first) + text, win
             best[key] = min(edits, best.get(key, edits))
-    out: dict[tuple[int, int], list[int]] = {}
+    out: dict[tuple[int, int], list[tuple[bool, int]]] = {}
     for (row, win), edits in best.items():
-        out.setdefault((row, index.item[win]), []).append(edits)
-    return [(row, item, len(e), min(e)) for (row, item), e in sorted(out.items(), key=lambda x: (x[0][0], str(x[0][1])))]
+        out.setdefault((row, index.item[win] if win >= 0 else index.whole[-1 - win]), []).append((win >= 0, edits))
+    return [(row, item, sum(w for w, _ in e), min(d for _, d in e)) for (row, item), e in sorted(out.items(), key=lambda x: (x[0][0], str(x[0][1])))]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -184,7 +221,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_
 
     ``n_windows``: how many of the item's windows of 100 characters (one each
     50; the whole of a shorter item) have a passage within 8 % edits in the whole
-    text; ``edits``: the least. Rows without a leak give no row. The benchmark
+    text, or 0 if there is only a verbatim run, of 13 words of the item or of 100
+    characters, from any place in it; ``edits``: the least. Rows without a leak give no row. The benchmark
     is indexed in blocks of so many bytes, each sent to the executors by itself.
     Null and empty texts and items match nothing, nor do items under 24
     characters; rows and items that repeat count each by itself (items that

@@ -132,6 +132,21 @@ def test_leaks_equal_brute_force():
     assert got == want and len(want) > 10
 
 
+def test_thirteen_words_of_any_place_are_a_leak():
+    """Windows at steps of 50 miss what lies across them; items under 100 characters had no parts."""
+    long_, short = prose(41, 40).split(), prose(42, 15).split()
+    docs, want = [], set()
+    for item, w in ((1, long_), (2, short)):
+        for at in range(len(w) - 12):
+            for n in (13, 12):
+                docs.append(prose(1000 + len(docs), 30) + " " + ", ".join(w[at : at + n]).upper() + " " + prose(2000 + len(docs), 30))
+                if n == 13:
+                    want.add((len(docs) - 1, item))
+    index = decontamination.Index([(1, " ".join(long_)), (2, " ".join(short))])
+    got = {(row, item) for row, item, _, _ in decontamination.found_in(pa.array(docs), index)}
+    assert want <= got and len(got - want) <= 3
+
+
 def test_leaks_across_pieces_and_odd_texts(spark, odd, none, monkeypatch):
     item = prose(1, 30)
     monkeypatch.setattr(decontamination, "PIECE", 2000)
