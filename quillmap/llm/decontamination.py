@@ -27,10 +27,12 @@ WINDOW, STRIDE = 100, 50
 EDITS = 8
 #: Words of an item in a row that are a leak if they are copied exactly.
 VERBATIM = 13
-#: Items shorter than this say too little to be a leak.
+#: Items shorter than this are a leak only as they stand, as whole words.
 LEAST = 24
 #: Normal bytes worked on at once, and benchmark bytes indexed at once.
-PIECE, BLOCK = 1 << 22, 1 << 21
+PIECE, BLOCK = 1 << 22, 1 << 22
+#: Shared q-grams, by window, that are held at once; beyond it a piece is cut in two.
+HITS, SMALLEST = 1 << 22, 1 << 11
 
 NORMAL = np.full(256, 32, np.uint8)
 NORMAL[48:58], NORMAL[97:123], NORMAL[65:91] = np.arange(48, 58), np.arange(97, 123), np.arange(97, 123)
@@ -61,91 +63,132 @@ def slots(g: np.ndarray) -> np.ndarray:
     return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
 
+def owners(found: list[np.ndarray], known: np.ndarray, *columns: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Where each known q-gram's entries begin, and the columns in that order."""
+    g = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    order = np.argsort(g, kind="stable")
+    first = np.append(np.searchsorted(g[order], known), len(g))
+    return first, *(np.concatenate(c)[order] if found else np.zeros(0, np.int32) for c in columns)
+
+
+def spread(first: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For q-grams k: how many entries each has, and the places of all."""
+    n = first[k + 1] - first[k]
+    return n, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[k], n)
+
+
+def crowded(at: np.ndarray, need: int, reach: int) -> np.ndarray:
+    """Which of the sorted places are among ``need`` that lie within ``reach``."""
+    if len(at) < need:
+        return np.zeros(len(at), bool)
+    begins = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] <= reach)
+    change = np.zeros(len(at) + 1, np.int64)
+    np.add.at(change, begins, 1)
+    np.add.at(change, begins + need, -1)
+    return np.cumsum(change)[:-1] > 0
+
+
 class Index:
-    """q-grams of the windows of some benchmark items."""
+    """q-grams of some benchmark items and of their windows.
+
+    Windows that are alike, as of a prompt that many items share, are one; its
+    items are all told of. ``small``: the items that are a leak as they stand.
+    """
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        self.item, self.text, found, owner, offset = [], [], [], [], []
-        self.whole, whole_of, start, began, ended, base = [], [], [], [], [], [0]
+        self.text: list[np.ndarray] = []
+        self.items: list[list] = []
+        self.whole, self.small = [], {}
+        known: dict[bytes, int] = {}
+        of_windows, window, offset, of_items, place = [], [], [], [], []
+        began, ended, base = [], [], [0]
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             whole = normal(raw, np.array([0, len(raw)]))[0]
             if len(whole) and whole[-1] == 32:
                 whole = whole[:-1]
             if len(whole) < LEAST:
+                if len(whole):
+                    self.small.setdefault(tuple(bytes(whole).split(b" ")), []).append(item)
                 continue
             # Word starts before, and word ends up to, each place of the item.
             inner, edge = whole != 32, np.zeros(1, bool)
             began.append(np.cumsum(np.concatenate([[0], inner & ~np.concatenate([edge, inner[:-1]])])))
             ended.append(np.cumsum(np.concatenate([[0], inner & ~np.concatenate([inner[1:], edge])])))
+            g = grams(whole)
+            of_items.append(g)
+            place.append(base[-1] + np.arange(len(g)))
             base.append(base[-1] + len(whole) + 1)
             last = max(0, len(whole) - WINDOW)
             for at in sorted({*range(0, last, STRIDE), last}):
                 part = whole[at : at + WINDOW]
-                g = grams(part)
-                found.append(g)
-                owner.append(np.full(len(g), len(self.item)))
-                offset.append(np.arange(len(g)))
-                self.item.append(item)
-                self.text.append(part)
-                whole_of.append(len(self.whole))
-                start.append(at)
+                k = known.setdefault(part.tobytes(), len(self.text))
+                if k == len(self.text):
+                    g = grams(part)
+                    of_windows.append(g)
+                    window.append(np.full(len(g), k, np.int32))
+                    offset.append(np.arange(len(g), dtype=np.int32))
+                    self.text.append(part)
+                    self.items.append([])
+                self.items[k].append(item)
             self.whole.append(item)
         self.size = np.array([len(t) for t in self.text], np.int64)
         self.edits = self.size * EDITS // 100
-        self.whole_of, self.start, self.base = (np.array(x, np.int64) for x in (whole_of, start, base))
-        self.began, self.ended = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (began, ended))
         self.need = np.maximum(1, self.size - Q + 1 - Q * self.edits)
-        g = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        order = np.argsort(g, kind="stable")
-        self.grams, self.first = np.unique(g[order], return_index=True)
-        self.first = np.append(self.first, len(g))
-        self.owner = np.concatenate(owner)[order] if found else np.zeros(0, np.int64)
-        self.offset = np.concatenate(offset)[order] if found else np.zeros(0, np.int64)
+        self.base = np.array(base, np.int64)
+        self.began, self.ended = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (began, ended))
+        self.grams = np.unique(np.concatenate(of_items)) if of_items else np.zeros(0, np.uint64)
+        self.first, self.window, self.offset = owners(of_windows, self.grams, window, offset)
+        self.item_first, self.place = owners(of_items, self.grams, place)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[slots(self.grams)] = True
 
-    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, window, offset) of every shared q-gram."""
+    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the q-grams that are known, and which they are."""
         g = grams(data)
         at = np.flatnonzero(self.seen[slots(g)])
-        k = np.minimum(np.searchsorted(self.grams, g[at]), max(0, len(self.grams) - 1))
-        same = self.grams[k] == g[at] if len(self.grams) else np.zeros(len(at), bool)
-        at, k = at[same], k[same]
-        n = self.first[k + 1] - self.first[k]
-        into = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[k], n)
-        return np.repeat(at, n), self.owner[into], self.offset[into]
-
-    def verbatim(self, text: np.ndarray, at: np.ndarray, win: np.ndarray, off: np.ndarray, wide: int) -> list[tuple[int, int, int]]:
-        """(text, -1 - item's place, 0) of texts that copy enough of an item exactly."""
-        whole, place = self.whole_of[win], self.start[win] + off
-        # A text's place fixes the text; windows overlap, so hits repeat.
-        longest = int(np.diff(self.base).max())
-        key = np.unique((whole * (wide + longest) + at - place + longest) * wide + at)
-        first = np.flatnonzero(np.diff(key, prepend=-2) != 1)
-        n = np.diff(first, append=len(key))
-        long_ = n + Q - 1 >= min(2 * VERBATIM - 1, WINDOW)
-        k, n = key[first[long_]], n[long_]
-        at_, diagonal = k % wide, k // wide
-        whole, place = diagonal // (wide + longest), at_ - (diagonal % (wide + longest) - longest)
-        low, high = self.base[whole] + place, self.base[whole] + place + n + Q - 1
-        ok = (self.ended[high] - self.began[low] >= VERBATIM) | (n + Q - 1 >= WINDOW)
-        which = np.unique(at, return_index=True)
-        owner = text[which[1][np.searchsorted(which[0], at_[ok])]]
-        return [(int(t), -1 - int(w), 0) for t, w in zip(owner, whole[ok], strict=True)]
-
-    def matches(self, data: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
+        if not len(at) or not len(self.grams):
+            return at[:0], at[:0]
+        k = np.minimum(np.searchsorted(self.grams, g[at]), len(self.grams) - 1)
+        same = self.grams[k] == g[at]
+        return at[same], k[same]
+
+    def verbatim(self, at: np.ndarray, k: np.ndarray) -> list[tuple[int, int]]:
+        """(place, item's place) of runs that copy enough of an item exactly."""
+        least = min(2 * VERBATIM - 1, WINDOW) - Q + 1
+        n, into = spread(self.item_first, k)
+        at, place = np.repeat(at, n), self.place[into]
+        order = np.lexsort((at, at - place))  # places tell items apart
+        at, place = at[order], place[order]
+        joint = (np.diff(at, prepend=-2) != 1) | (np.diff(at - place, prepend=-1) != 0)
+        first = np.flatnonzero(joint)
+        n = np.diff(first, append=len(at))
+        first, n = first[n >= least], n[n >= least]
+        low, size = place[first], n + Q - 1
+        ok = (self.ended[low + size] - self.began[low] >= VERBATIM) | (size >= WINDOW)
+        whole = np.searchsorted(self.base, low[ok], side="right") - 1
+        return list(zip(at[first[ok]].tolist(), whole.tolist(), strict=True))
+
+    def matches(self, data: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]] | None:
         """(text, window, edits) of passages found; ``starts`` has the texts' bounds.
 
         A verbatim run has its item's place, negative and from -1, for a window.
+        None if there are too many hits to hold and the piece can be cut.
         """
-        at, win, off = self.hits(data)
+        at, k = self.hits(data)
         text = np.searchsorted(starts, at, side="right") - 1
         inside = at + Q <= starts[text + 1]
-        at, win, off, text = at[inside], win[inside], off[inside], text[inside]
+        at, k, text = at[inside], k[inside], text[inside]
         if not len(at):
             return []
-        exact = self.verbatim(text, at, win, off, len(data) + 1)
+        # What a verbatim run or a passage within its budget asks of the places alone.
+        least = min(2 * VERBATIM - 1, WINDOW) - Q + 1
+        run, close = crowded(at, least, least - 1), crowded(at, int(self.need.min()), int((self.size + self.edits).max()) - Q)
+        if len(data) > SMALLEST and (self.first[k[close] + 1] - self.first[k[close]]).sum() + (self.item_first[k[run] + 1] - self.item_first[k[run]]).sum() > HITS:
+            return None
+        exact = [(int(np.searchsorted(starts, p, side="right")) - 1, -1 - w, 0) for p, w in self.verbatim(at[run], k[run])]
+        n, into = spread(self.first, k[close])
+        at, text, win, off = np.repeat(at[close], n), np.repeat(text[close], n), self.window[into].astype(np.int64), self.offset[into]
         step = self.edits[win] + 1
         band = (at - off + WINDOW) // step  # diagonals may begin before the text
         wide = len(data) + 2 * WINDOW
@@ -180,6 +223,10 @@ class Index:
         return out
 
 
+#: More than a passage with its edits, and than what makes a verbatim run a leak.
+OVERLAP = 4 * WINDOW
+
+
 def pieces(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of bytes that cover all texts; they overlap by more than a match."""
     at, end = 0, int(bounds[-1])
@@ -187,7 +234,7 @@ def pieces(bounds: np.ndarray) -> Iterator[tuple[int, int]]:
         yield at, min(end, at + PIECE)
         if at + PIECE >= end:
             return
-        at += PIECE - 4 * WINDOW
+        at += PIECE - OVERLAP
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -201,18 +248,34 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def found_in(column: pa.Array, index: Index) -> list[tuple[int, int, int, int]]:
-    """(row, item's place in the index's items, windows found, least edits)."""
+    """(row, item, windows found, least edits); windows of an item that are alike count each."""
     data, bounds = normal(*text_bytes(column))
     best: dict[tuple[int, int], int] = {}
-    for a, b in pieces(bounds) if len(data) else ():
+    work = list(pieces(bounds))[::-1] if len(data) and len(index.grams) else []
+    while work:
+        a, b = work.pop()
         first, last = np.searchsorted(bounds, a, side="right") - 1, np.searchsorted(bounds, b, side="left")
         inner = np.clip(bounds[first : last + 1], a, b) - a
-        for text, win, edits in index.matches(data[a:b], inner):
+        got = index.matches(data[a:b], inner)
+        if got is None:
+            middle = (a + b) // 2
+            work += [(middle - OVERLAP // 2, b), (a, middle + OVERLAP // 2)]
+            continue
+        for text, win, edits in got:
             key = int(first) + text, win
             best[key] = min(edits, best.get(key, edits))
     out: dict[tuple[int, int], list[tuple[bool, int]]] = {}
     for (row, win), edits in best.items():
-        out.setdefault((row, index.item[win] if win >= 0 else index.whole[-1 - win]), []).append((win >= 0, edits))
+        for item in index.items[win] if win >= 0 else [index.whole[-1 - win]]:
+            out.setdefault((row, item), []).append((win >= 0, edits))
+    if index.small:
+        lengths = {len(w) for w in index.small}
+        for row in range(len(bounds) - 1):
+            words = data[bounds[row] : bounds[row + 1]].tobytes().split()
+            for n in lengths:
+                for gram in set(zip(*(words[k:] for k in range(n)), strict=False)) & index.small.keys():
+                    for item in index.small[gram]:
+                        out.setdefault((row, item), []).append((True, 0))
     return [(row, item, sum(w for w, _ in e), min(d for _, d in e)) for (row, item), e in sorted(out.items(), key=lambda x: (x[0][0], str(x[0][1])))]
 
 
@@ -224,9 +287,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_
     text, or 0 if there is only a verbatim run, of 13 words of the item or of 100
     characters, from any place in it; ``edits``: the least. Rows without a leak give no row. The benchmark
     is indexed in blocks of so many bytes, each sent to the executors by itself.
-    Null and empty texts and items match nothing, nor do items under 24
-    characters; rows and items that repeat count each by itself (items that
-    share an id as one); tables without rows give none.
+    Items under 24 characters are found where they stand as whole words, as one
+    window without edits. Null and empty texts and items match nothing; rows
+    and items that repeat count each by itself (items that share an id as one);
+    tables without rows give none.
     """
     spark = docs.sparkSession
     rows = docs.select(*carry, F.col(text).cast("string").alias("__text"))
