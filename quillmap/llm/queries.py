@@ -88,7 +88,7 @@ def _op9_sql() -> str:
     """Pieces between matches and matches alternate; ends are running sums."""
 
     def kind(k: int, rule: secret_scan.Rule) -> str:
-        p = rule.pattern.replace("'", "''")
+        p = rule.pattern.replace("'", "''").replace("}+", "}")  # there are no possessive quantifiers, nor is there need of them
         return f"""
 SELECT r, {k} AS k, '{rule.kind}' AS kind, ends[i] - length(m[i]) AS s, ends[i] AS e FROM (
   SELECT r, m, g, list_transform(range(1, len(m) + 1), lambda j: list_sum(list_transform(p[1:j], lambda x: length(x))) + list_sum(list_transform(m[1:j], lambda x: length(x)))) AS ends, unnest(range(1, len(m) + 1)) AS i FROM (

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, text_or_empty, written
+from .common import joined_small, let, text_or_empty, written
 
 MASK = "[SECRET]"
 SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
@@ -53,7 +53,9 @@ RULES = (
     Rule("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
+    # A run that nothing follows is a match too, which is thrown away: so no run
+    # is begun again from its inside.
+    Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{10,}+((?:\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]+)?)", 1, 1),
 )
 #: Between lines of a key; line ends may be spelled as escapes.
 _GAP = r"(?:\s|\\[nr]){1,8}"
@@ -133,14 +135,16 @@ def scanned(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text"
     blob that it has with all rules makes no row. ``findings`` has kind, the
     rule's version and the span of each secret. Null texts count as empty.
     """
-    blobs = docs.select(blob_id(F.col(text)).alias("blob_id"), text_or_empty(text).alias("blob")).groupBy("blob_id").agg(F.first("blob").alias("blob"))
+    texts = docs.select(blob_id(F.col(text)).alias("blob_id"), text_or_empty(text).alias("blob"))
     keys = F.array(*[F.lit(r.key) for r in rules])
     if ledger is None:
-        blobs = blobs.withColumn("todo", keys)
+        blobs = texts.groupBy("blob_id").agg(F.first("blob").alias("blob")).withColumn("todo", keys)
     else:
+        # Identifiers alone meet the ledger; texts move only if something is left to scan in them.
         seen = ledger.groupBy("blob_id").agg(F.flatten(F.collect_set("rules")).alias("seen"))
         todo = F.array_except(keys, F.coalesce(F.col("seen"), F.array().cast("array<string>")))
-        blobs = blobs.join(seen, "blob_id", "left").withColumn("todo", todo).filter(F.size("todo") > 0)
+        left = texts.select("blob_id").distinct().join(seen, "blob_id", "left").select("blob_id", todo.alias("todo")).filter(F.size("todo") > 0)
+        blobs = joined_small(texts, written(left, "unseen-blobs"), "blob_id").groupBy("blob_id").agg(F.first("blob").alias("blob"), F.first("todo").alias("todo"))
     none = F.array().cast(SPANS)
     each = [F.when(F.array_contains("todo", r.key), matched(F.col("blob"), r, k)).otherwise(none) for k, r in enumerate(rules)]
     names = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -10,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillmap.llm import mixing, quality_rules, secret_scan
+from quillmap.llm.common import written
 
 from .conftest import ODD
 
@@ -126,6 +128,26 @@ def test_spans_equal_brute_force(spark, odd, none):
     assert secret_scan.with_findings(none, secret_scan.scanned(none)).count() == 0
 
 
+def test_texts_that_the_ledger_knows_are_not_moved(spark):
+    docs = spark.createDataFrame([(k, f"token = abcdefghijklm{k}") for k in range(50)], "doc_id long, text string")
+    first = written(secret_scan.scanned(docs), "ledger")
+    more = docs.union(spark.createDataFrame([(99, "token = zzzzzzzzzzzzzz")], docs.schema))
+    again = secret_scan.scanned(more, first)
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    before = plan[: plan.index("BroadcastHashJoin")]  # what is above the join, nearer to the result
+    assert "Exchange hashpartitioning(blob_id" in before and "SortMergeJoin" not in plan
+    assert again.count() == 1
+
+
+def test_long_encoded_runs_cost_their_length(spark):
+    texts = ["eyJ" * 350_000, "-----BEGIN " * 90_000, "eyJ" + "z" * 20 + ".", "x eyJ" + "z" * 12 + ".eyJ" + "y" * 12 + ".c d", "eyJshort.eyJ" + "z" * 12 + "." + "y" * 11 + ".c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.perf_counter()
+    found = secret_scan.with_findings(docs, secret_scan.scanned(docs)).select("doc_id", secret_scan.listed(F.col("secrets")).alias("s")).collect()
+    assert time.perf_counter() - began < 20
+    assert {r["doc_id"]: r["s"] for r in found} == {0: "", 1: "", 2: "", 3: "jwt:2:35", 4: "jwt:9:38"}
+
+
 def test_the_ledger_grows_by_what_it_lacks(spark):
     docs = spark.createDataFrame([(1, "token=aaaaaaaaaaaaaa"), (2, "token=aaaaaaaaaaaaaa"), (3, "b")], "doc_id long, text string")
     first = secret_scan.scanned(docs).cache()
