@@ -222,8 +222,10 @@ def records(index: DataFrame, payloads: bool = True) -> DataFrame:
                             out.append(one if payloads else one | {"payload": None})
                         yield pa.RecordBatch.from_pylist(out, schema)
 
+    # Dealt out in turn and not by a hash of the path: what makes the paths distinct
+    # is partitioned by that already, and is few rows that would be put in one task.
     paths = index.select("path").distinct()
-    return paths.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path").mapInArrow(read, RECORDS)
+    return paths.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(read, RECORDS)
 
 
 def fetched(index: DataFrame, wanted: str) -> dict | None:
