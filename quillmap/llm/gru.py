@@ -1,26 +1,27 @@
 """A gated recurrent language model in numpy, with a class-factored softmax.
 
 Symbols are the head (frequent words, learned) and the tail classes (all other
-words by their first bytes; inside a class the words' own counts decide). The
-softmax first chooses a class, then a head word in its class.
+words by their first bytes; what decides inside a class is not this module's
+concern). The softmax first chooses a class, then a head word in its class.
+
+Texts lie end to end in a stream of symbols, and a stream is cut into lanes that
+run side by side. State is carried from window to window of a lane; where a text
+begins there is none.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
 
-EMBED, HIDDEN = 16, 24
+EMBED, HIDDEN = 16, 20
 #: Words in each head class.
 WIDTH = 32
 WINDOW = 32
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
-
-
 @dataclass
 class Shape:
     """``head`` words in classes of ``WIDTH``, then ``tail`` classes."""
@@ -67,117 +68,195 @@ def initial(shape: Shape, counts: np.ndarray, seed: int = 0) -> dict[str, np.nda
     }
 
 
-def stepped(p: dict, table: np.ndarray, symbol: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """One step of all lanes; ``table`` has each symbol's input to the gates."""
-    x = table[symbol]
-    g = sigmoid(x[:, : 2 * HIDDEN] + h @ p["state"])
-    z, r = g[:, :HIDDEN], g[:, HIDDEN:]
-    rh = r * h
-    n = np.tanh(x[:, 2 * HIDDEN :] + rh @ p["new"])
-    return n + z * (h - n), (symbol, h, g, rh, n)
-
-
 def inputs(p: dict) -> np.ndarray:
-    return p["embed"] @ p["in"] + p["gates"]
+    """What each symbol adds to the gates; halved where a sigmoid follows, see :func:`unrolled`."""
+    table = p["embed"] @ p["in"] + p["gates"]
+    table[:, : 2 * HIDDEN] *= 0.5
+    return table
+
 
+def unrolled(p: dict, table: np.ndarray, symbols: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list, np.ndarray, np.ndarray, np.ndarray]:
+    """(states after each step, states before it, gates, candidates, reset states).
 
-def softmax(logits: np.ndarray) -> np.ndarray:
-    """In place."""
-    logits -= logits.max(axis=-1, keepdims=True)
+    ``symbols`` and ``fresh``: (steps, lanes); a lane that is fresh at a step
+    begins a text there. A sigmoid is half a tanh of half its argument.
+    """
+    steps, lanes = symbols.shape
+    half = p["state"] * table.dtype.type(0.5)
+    xs = table[symbols]
+    states, gate = np.empty((steps, lanes, HIDDEN), table.dtype), np.empty((steps, lanes, 2 * HIDDEN), table.dtype)
+    new, reset = np.empty_like(states), np.empty_like(states)
+    begins, before = fresh.any(axis=1).tolist(), []
+    for t in range(steps):
+        if begins[t]:
+            h = h * ~fresh[t][:, None]
+        before.append(h)
+        g, n, s = gate[t], new[t], states[t]
+        np.matmul(h, half, out=g)
+        g += xs[t, :, : 2 * HIDDEN]
+        np.tanh(g, out=g)
+        g *= 0.5
+        g += 0.5
+        np.multiply(g[:, HIDDEN:], h, out=reset[t])
+        np.matmul(reset[t], p["new"], out=n)
+        n += xs[t, :, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=s)
+        s *= g[:, :HIDDEN]
+        s += n
+        h = s
+    return states, before, gate, new, reset
+
+
+class Room:
+    """Arrays that are used again: fresh memory for each would cost more than what fills it."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = int(np.prod(shape))
+        had = self.held.get(name)
+        if had is None or len(had) < size:
+            had = self.held[name] = np.empty(size, np.float32)
+        return had[:size].reshape(shape)
+
+
+#: Logits are biases, which are logs of probabilities to begin with, and sums of
+#: weights by states under 1. While the weights' sums are under this, exponentials
+#: neither overflow nor all vanish, and the rows' maxima need not be looked for.
+TAME = 30
+
+
+def exponentials(logits: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """In place, each row by its own factor; gives the rows' sums."""
+    if np.abs(weights).sum(axis=-2).max() > TAME:
+        logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=-1, keepdims=True)
-    return logits
+    return logits @ np.ones(logits.shape[1], logits.dtype)
+
+
+def product(room: Room | None, name: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a @ b if room is None else np.matmul(a, b, out=room(name, len(a), b.shape[1]))
+
 
+def class_logits(p: dict, h: np.ndarray, room: Room | None = None) -> np.ndarray:
+    out = product(room, "class", h, p["class"])
+    out += p["class_bias"]
+    return out
+
+
+def in_classes(cls: np.ndarray, head_classes: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Places of head targets by class, and (class, begin, end) of each there."""
+    head = np.flatnonzero(cls < head_classes)
+    order = head[np.argsort(cls[head].astype(np.int16), kind="stable")]
+    ends = np.searchsorted(cls[order], np.arange(head_classes + 1)).tolist()
+    return order, [(c, ends[c], ends[c + 1]) for c in range(head_classes) if ends[c] < ends[c + 1]]
+
+
+def word_logits(p: dict, h: np.ndarray, parts: list[tuple[int, int, int]], room: Room | None = None) -> np.ndarray:
+    out = np.empty((len(h), WIDTH), h.dtype) if room is None else room("word", len(h), WIDTH)
+    for c, a, b in parts:
+        np.matmul(h[a:b], p["word"][c], out=out[a:b])
+        out[a:b] += p["word_bias"][c]
+    return out
 
-def by_class(cls: np.ndarray, head_classes: int) -> list[tuple[int, np.ndarray]]:
-    """Places of each head class among the targets."""
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(head_classes + 1))
-    return [(c, order[ends[c] : ends[c + 1]]) for c in range(head_classes) if ends[c] < ends[c + 1]]
 
+def picked(logits: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Natural log of the softmax at one column of each row; spoils ``logits``."""
+    sums = exponentials(logits, weights)
+    return np.log(np.maximum(logits[np.arange(len(at)), at], 1e-37) / sums)
 
-def log_probs(p: dict, shape: Shape, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+
+def log_probs(p: dict, shape: Shape, h: np.ndarray, target: np.ndarray, room: Room | None = None) -> np.ndarray:
     """Natural log of each target symbol's probability after states ``h``."""
     cls = shape.class_of(target)
-    logits = h @ p["class"] + p["class_bias"]
-    top = logits.max(axis=1)
-    out = logits[np.arange(len(cls)), cls] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-    for c, at in by_class(cls, shape.head_classes):
-        w = h[at] @ p["word"][c] + p["word_bias"][c]
-        top = w.max(axis=1)
-        out[at] += w[np.arange(len(at)), target[at] - c * WIDTH] - top - np.log(np.exp(w - top[:, None]).sum(axis=1))
+    out = picked(class_logits(p, h, room), cls, p["class"])
+    order, parts = in_classes(cls, shape.head_classes)
+    if parts:
+        out[order] += picked(word_logits(p, h[order], parts, room), target[order] - cls[order] * WIDTH, p["word"])
     return out
 
 
-def gradients(p: dict, shape: Shape, symbols: np.ndarray, targets: np.ndarray, learned: np.ndarray) -> tuple[dict, float]:
-    """Gradients of the mean loss of windows, back through ``learned`` alone.
+def errors(logits: np.ndarray, at: np.ndarray, n: int, weights: np.ndarray) -> float:
+    """Turns logits into the gradient of the loss over n targets; gives the sum of losses."""
+    sums = exponentials(logits, weights)
+    rows = np.arange(len(at))
+    own = logits[rows, at]
+    loss = float(np.log(sums / np.maximum(own, 1e-37)).sum(dtype=np.float64))
+    logits *= (1 / (n * sums))[:, None]
+    logits[rows, at] -= logits.dtype.type(1 / n)
+    return loss
+
+
+def gradients(p: dict, shape: Shape, symbols: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray, room: Room | None = None) -> tuple[dict, float, np.ndarray]:
+    """Gradients of a window's mean loss, its mean loss and the state after it.
 
-    ``symbols`` and ``targets``: (steps, lanes), -1 where a lane is idle. Steps
-    that are not learned only carry the state up to those that are.
+    ``symbols``, ``targets`` and ``fresh``: (steps, lanes); a target of -1 is
+    not learned. Nothing goes back beyond the window or a text's beginning.
     """
     steps, lanes = symbols.shape
-    table = inputs(p)
-    all_live = (symbols >= 0).all(axis=1)
-    h = np.zeros((lanes, HIDDEN), np.float32)
-    kept, states = [], []
-    for t in range(steps):
-        live = symbols[t] >= 0
-        new, memory = stepped(p, table, np.where(live, symbols[t], shape.symbols), h)
-        h = new if all_live[t] else np.where(live[:, None], new, h)
-        if learned[t]:
-            kept.append((memory, live))
-            states.append(h)
-    hs = np.concatenate(states)
-    target = targets[learned].ravel()
+    states, before, gate, new, reset = unrolled(p, inputs(p), symbols, fresh, h)
+    hs, target = states.reshape(-1, HIDDEN), targets.ravel()
     use = np.flatnonzero(target >= 0)
     n = max(1, len(use))
-    hu, tu = hs[use], target[use]
+    all_used = len(use) == len(hs)
+    hu, tu = (hs, target) if all_used else (hs[use], target[use])
     cls = shape.class_of(tu)
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    d = softmax(hu @ p["class"] + p["class_bias"])
-    rows = np.arange(len(use))
-    loss = -np.log(np.maximum(d[rows, cls], 1e-30)).sum()
-    d[rows, cls] -= 1
-    d /= n
+    d = class_logits(p, hu, room)
+    loss = errors(d, cls, n, p["class"])
     g["class"], g["class_bias"] = hu.T @ d, d.sum(axis=0)
     du = d @ p["class"].T
-    for c, at in by_class(cls, shape.head_classes):
-        d = softmax(hu[at] @ p["word"][c] + p["word_bias"][c])
-        rows, w = np.arange(len(at)), tu[at] - c * WIDTH
-        loss -= np.log(np.maximum(d[rows, w], 1e-30)).sum()
-        d[rows, w] -= 1
-        d /= n
-        g["word"][c], g["word_bias"][c] = hu[at].T @ d, d.sum(axis=0)
-        du[at] += d @ p["word"][c].T
-    dh_all = np.zeros_like(hs)
-    dh_all[use] = du
-    dh_all = dh_all.reshape(len(kept), lanes, HIDDEN)
-    dh = np.zeros((lanes, HIDDEN), np.float32)
-    din, dgates = np.empty((len(kept), lanes, 3 * HIDDEN), np.float32), np.empty((len(kept), lanes, 2 * HIDDEN), np.float32)
+    order, parts = in_classes(cls, shape.head_classes)
+    if parts:
+        ha = hu[order]
+        d = word_logits(p, ha, parts, room)
+        loss += errors(d, tu[order] - cls[order] * WIDTH, n, p["word"])
+        back = np.empty_like(ha)
+        for c, a, b in parts:
+            g["word"][c], g["word_bias"][c] = ha[a:b].T @ d[a:b], d[a:b].sum(axis=0)
+            np.matmul(d[a:b], p["word"][c].T, out=back[a:b])
+        du[order] += back
+    if all_used:
+        dh_all = du.reshape(steps, lanes, HIDDEN)
+    else:
+        dh_all = np.zeros_like(hs)
+        dh_all[use] = du
+        dh_all = dh_all.reshape(steps, lanes, HIDDEN)
+    dh = np.zeros((lanes, HIDDEN), hs.dtype)
+    din = np.empty((steps, lanes, 3 * HIDDEN), hs.dtype) if room is None else room("din", steps, lanes, 3 * HIDDEN)
     back_new, back_state = p["new"].T.copy(), p["state"].T.copy()
-    for t in range(len(kept) - 1, -1, -1):
-        (_, before, gate, _, new), live = kept[t]
-        dh += dh_all[t]
-        on = dh * live[:, None]
-        z, r = gate[:, :HIDDEN], gate[:, HIDDEN:]
-        dn = on * (1 - z) * (1 - new * new)
-        drh = dn @ back_new
-        dgate = dgates[t]
-        dgate[:, :HIDDEN] = on * (before - new)
-        dgate[:, HIDDEN:] = drh * before
-        dgate *= gate * (1 - gate)
-        din[t, :, : 2 * HIDDEN], din[t, :, 2 * HIDDEN :] = dgate, dn
-        dh = dh - on + on * z + drh * r + dgate @ back_state
+    slope = gate * (1 - gate)
+    candidate = (1 - gate[:, :, :HIDDEN]) * (1 - new * new)
+    begins = fresh.any(axis=1).tolist()
+    for t in range(steps - 1, -1, -1):
+        b, z, r = before[t], gate[t, :, :HIDDEN], gate[t, :, HIDDEN:]
+        dh = dh + dh_all[t]
+        dn = din[t, :, 2 * HIDDEN :]
+        np.multiply(dh, candidate[t], out=dn)
+        dr = dn @ back_new
+        dgate = din[t, :, : 2 * HIDDEN]
+        np.subtract(b, new[t], out=dgate[:, :HIDDEN])
+        dgate[:, :HIDDEN] *= dh
+        np.multiply(dr, b, out=dgate[:, HIDDEN:])
+        dgate *= slope[t]
+        dh *= z
+        dr *= r
+        dh += dr
+        dh += dgate @ back_state
+        if begins[t]:
+            dh *= ~fresh[t][:, None]
     flat = din.reshape(-1, 3 * HIDDEN)
-    g["state"] = np.concatenate([m[1] for m, _ in kept]).T @ dgates.reshape(-1, 2 * HIDDEN)
-    g["new"] = np.concatenate([m[3] for m, _ in kept]).T @ flat[:, 2 * HIDDEN :]
-    symbol = np.concatenate([m[0] for m, _ in kept])
-    order = np.argsort(symbol, kind="stable")
+    g["state"] = np.concatenate(before).T @ flat[:, : 2 * HIDDEN]
+    g["new"] = reset.reshape(-1, HIDDEN).T @ flat[:, 2 * HIDDEN :]
+    symbol = symbols.ravel()
+    order = np.argsort(symbol.astype(np.int16), kind="stable")
     first = np.flatnonzero(np.diff(symbol[order], prepend=-1))
     rows, sums = symbol[order][first], np.add.reduceat(flat[order], first, axis=0)
     g["embed"][rows] = sums @ p["in"].T
     g["in"], g["gates"] = p["embed"][rows].T @ sums, flat.sum(axis=0)
-    return g, float(loss) / n
+    return g, loss / n, states[-1]
 
 
 class Adam:
@@ -203,40 +282,74 @@ class Adam:
             p[k] -= x
 
 
-#: Tokens of padded lanes that one group of texts may have.
-GROUP = 1 << 17
-
+def learned(p: dict, shape: Shape, best: Adam, texts: list[np.ndarray], most_lanes: int = 256, least_windows: int = 64) -> int:
+    """Updates the weights by truncated backpropagation over texts end to end.
 
-def document_log_probs(p: dict, shape: Shape, texts: list[np.ndarray]) -> np.ndarray:
+    Every symbol is a target once. There are as many lanes as leave so many
+    windows to each, and ``most_lanes`` at the outside.
+    """
+    target = np.concatenate(texts).astype(np.int32)
+    n = len(target)
+    sizes = np.array([len(t) for t in texts])
+    fresh = np.zeros(n, bool)
+    fresh[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    symbol = np.concatenate([[shape.symbols], target[:-1]])
+    symbol[fresh] = shape.symbols
+    lanes = max(1, min(most_lanes, n // (least_windows * WINDOW)))
+    steps = -(-n // lanes)
+    room = steps * lanes - n
+    # A lane is a row of these; a window is a few columns, handed on with steps first.
+    grid = [np.concatenate([x, np.full(room, fill, x.dtype)]).reshape(lanes, steps) for x, fill in ((symbol, 0), (target, -1), (fresh, False))]
+    h, room = np.zeros((lanes, HIDDEN), np.float32), Room()
+    for at in range(0, steps, WINDOW):
+        x, y, f = (np.ascontiguousarray(a[:, at : at + WINDOW].T) for a in grid)
+        g, _, h = gradients(p, shape, x, y, f, h, room)
+        best.update(p, g)
+    return n
+
+
+def document_log_probs(p: dict, shape: Shape, texts: list[np.ndarray], most_lanes: int = 512) -> np.ndarray:
     """Natural log probability of every whole text's symbols.
 
-    Texts run side by side, longest first, and state is carried from window to
-    window; lanes whose texts have ended fall away.
+    Texts are dealt to lanes, longest first, each to the lane that is shortest
+    so far; no text is cut, and state is carried from window to window. There
+    are no more lanes than the longest text leaves busy.
     """
     out = np.zeros(len(texts))
-    table = inputs(p)
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    at = 0
-    while at < len(order):
-        lanes = max(1, min(1024, GROUP * 8 // max(1, len(texts[order[at]]))))
-        group = order[at : at + lanes]
-        at += lanes
-        lens = np.array([len(texts[i]) for i in group])
-        flat = np.concatenate([texts[i] for i in group])
-        starts = np.cumsum(lens) - lens
-        h = np.zeros((len(group), HIDDEN), np.float32)
-        last = np.full(len(group), shape.symbols)
-        sums = np.zeros(len(group))
-        for begin in range(0, int(lens[0]), WINDOW):
-            states, targets, whose = [], [], []
-            for t in range(begin, min(begin + WINDOW, int(lens[0]))):
-                n = int(np.searchsorted(-lens, -t, side="left"))  # lanes longer than t
-                h, _ = stepped(p, table, last[:n], h[:n])
-                last = flat[starts[:n] + t]
-                states.append(h)
-                targets.append(last)
-                whose.append(np.arange(n))
-            who = np.concatenate(whose)
-            sums += np.bincount(who, log_probs(p, shape, np.concatenate(states), np.concatenate(targets)), len(group))
-        out[group] = sums
+    sizes = np.array([len(t) for t in texts], np.int64)
+    if not sizes.sum():
+        return out
+    lanes = int(max(1, min(most_lanes, -(-int(sizes.sum()) // int(sizes.max())))))
+    ends, heap = np.zeros(lanes, np.int64), [(0, k) for k in range(lanes)]
+    steps = 0
+    placed = []
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        n = int(sizes[i])
+        if n:
+            at, lane = heap[0]
+            heapq.heapreplace(heap, (at + n, lane))
+            placed.append((i, lane, at, n))
+            steps = max(steps, at + n)
+            ends[lane] = at + n
+    target, owner = np.full((lanes, steps), -1, np.int32), np.zeros((lanes, steps), np.int32)
+    fresh = np.zeros((lanes, steps), bool)
+    for i, lane, at, n in placed:
+        target[lane, at : at + n] = texts[i]
+        owner[lane, at : at + n] = i
+        fresh[lane, at] = True
+    # Lanes that end first fall away first.
+    by_end = np.argsort(-ends, kind="stable")
+    target, owner, fresh, ends = target[by_end], owner[by_end], fresh[by_end], ends[by_end]
+    table, h = inputs(p), np.zeros((lanes, HIDDEN), np.float32)
+    last, room = np.full(lanes, shape.symbols, np.int32), Room()
+    for at in range(0, steps, WINDOW):
+        live = int(np.searchsorted(-ends, -at, side="left"))  # lanes longer than this
+        y, who, f = (np.ascontiguousarray(a[:live, at : at + WINDOW].T) for a in (target, owner, fresh))
+        x = np.concatenate([last[None, :live], y[:-1]])
+        x[f] = shape.symbols
+        states = unrolled(p, table, np.maximum(x, 0), f, h[:live])[0]
+        h, last = states[-1], y[-1]
+        use = np.flatnonzero(y.ravel() >= 0)
+        got = log_probs(p, shape, states.reshape(-1, HIDDEN)[use], y.ravel()[use], room)
+        out += np.bincount(who.ravel()[use], got.astype(np.float64), len(texts))
     return out
