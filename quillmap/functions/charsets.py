@@ -9,6 +9,9 @@ from __future__ import annotations
 import codecs
 import re
 
+from quillmap.operators.messages import DECLARED as MISMATCH
+from quillmap.operators.messages import NO_ENCODING
+
 # Labels in XML declarations, by the standard names that are reported.
 LABELS = {
     "UTF-8": "utf-8 utf8 unicode-1-1-utf-8 unicode11utf8 unicode20utf8 x-unicode20utf8",
@@ -32,15 +35,28 @@ LABELS = {
     "windows-1258": "windows-1258 cp1258 x-cp1258",
     "windows-874": "windows-874 dos-874 iso-8859-11 iso8859-11 tis-620",
     "ISO-8859-2": "iso-8859-2 iso8859-2 iso_8859-2 l2 latin2",
-    "ISO-8859-5": "iso-8859-5 iso8859-5 cyrillic",
-    "ISO-8859-7": "iso-8859-7 iso8859-7 greek",
-    "ISO-8859-15": "iso-8859-15 iso8859-15 latin9 l9",
-    "KOI8-R": "koi8-r koi koi8 koi8_r",
+    "ISO-8859-3": "iso-8859-3 csisolatin3 iso-ir-109 iso8859-3 iso88593 iso_8859-3 iso_8859-3:1988 l3 latin3",
+    "ISO-8859-4": "iso-8859-4 csisolatin4 iso-ir-110 iso8859-4 iso88594 iso_8859-4 iso_8859-4:1988 l4 latin4",
+    "ISO-8859-5": "iso-8859-5 csisolatincyrillic cyrillic iso-ir-144 iso8859-5 iso88595 iso_8859-5 iso_8859-5:1988",
+    "ISO-8859-6": "iso-8859-6 arabic asmo-708 csiso88596e csiso88596i csisolatinarabic ecma-114 iso-8859-6-e iso-8859-6-i iso-ir-127 iso8859-6 iso88596 iso_8859-6 iso_8859-6:1987",
+    "ISO-8859-7": "iso-8859-7 csisolatingreek ecma-118 elot_928 greek greek8 iso-ir-126 iso8859-7 iso88597 iso_8859-7 iso_8859-7:1987 sun_eu_greek",
+    "ISO-8859-8": "iso-8859-8 csiso88598e csisolatinhebrew hebrew iso-8859-8-e iso-ir-138 iso8859-8 iso88598 iso_8859-8 iso_8859-8:1988 visual",
+    "ISO-8859-8-I": "iso-8859-8-i csiso88598i logical",
+    "ISO-8859-10": "iso-8859-10 csisolatin6 iso-ir-157 iso8859-10 iso885910 l6 latin6",
+    "ISO-8859-13": "iso-8859-13 iso8859-13 iso885913",
+    "ISO-8859-14": "iso-8859-14 iso8859-14 iso885914",
+    "ISO-8859-15": "iso-8859-15 csisolatin9 iso8859-15 iso885915 iso_8859-15 l9 latin9",
+    "ISO-8859-16": "iso-8859-16",
+    "KOI8-R": "koi8-r cskoi8r koi koi8 koi8_r",
     "KOI8-U": "koi8-u koi8-ru",
     "IBM866": "ibm866 866 cp866 csibm866",
+    "macintosh": "macintosh csmacintosh mac x-mac-roman",
+    "x-mac-cyrillic": "x-mac-cyrillic x-mac-ukrainian",
+    "x-user-defined": "x-user-defined",
+    "replacement": "replacement csiso2022kr hz-gb-2312 iso-2022-cn iso-2022-cn-ext iso-2022-kr",
 }
 #: Where Python's codec has another name or a narrower repertoire.
-CODECS = {"EUC-KR": "cp949", "Shift_JIS": "cp932", "GBK": "gb18030", "Big5": "big5hkscs", "windows-874": "cp874"}
+CODECS = {"EUC-KR": "cp949", "Shift_JIS": "cp932", "GBK": "gb18030", "Big5": "big5hkscs", "windows-874": "cp874", "ISO-8859-8-I": "iso-8859-8", "macintosh": "mac-roman", "x-mac-cyrillic": "mac-cyrillic"}
 BY_LABEL = {label: name for name, labels in LABELS.items() for label in labels.split()}
 KOREAN = {"CP949", "MS949", "XEUCKR", "UHC"}
 
@@ -70,6 +86,10 @@ def resolved(label: str) -> str | None:
 
 def strict(data: bytes, name: str) -> str | None:
     """Decoded text, or None if any byte does not fit the encoding."""
+    if name == "replacement":  # nothing but the empty document can be read
+        return None if data else ""
+    if name == "x-user-defined":  # bytes of the upper half are private letters
+        return "".join(chr(b if b < 0x80 else 0xF700 + b) for b in data)
     try:
         return data.decode(CODECS.get(name, name), "quillmap.control" if name.startswith("windows") else "strict")
     except (UnicodeDecodeError, LookupError):
@@ -104,7 +124,6 @@ def decoded(data: bytes) -> tuple[bytes, str, list[dict]]:
     for name in filter(None, tries):
         if (text := strict(content, name)) is not None:
             wrong = said is not None and resolved(said) != name
-            told = f"declared encoding '{said}' does not match the actual encoding ({name}); using {name}"
+            told = MISMATCH.format(said, name, name)
             return text.encode(), name, [{"code": "encoding_mismatch", "span": None, "message": told}] if wrong else []
-    told = "could not confidently detect an encoding (tried UTF-8, the declared label, EUC-KR/CP949 heuristic); decoded lossily"
-    return content.decode("utf-8", "replace").encode(), "UTF-8", [{"code": "encoding_undetectable", "span": None, "message": told}]
+    return content.decode("utf-8", "replace").encode(), "UTF-8", [{"code": "encoding_undetectable", "span": None, "message": NO_ENCODING}]

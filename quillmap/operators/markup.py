@@ -20,21 +20,18 @@ from dataclasses import dataclass, field
 
 from quillmap.functions.placeholders import Segment
 
+from . import messages
+
 # The entities that need no declaration.
 ENTITIES = {b"lt": b"<", b"gt": b">", b"amp": b"&", b"apos": b"'", b"quot": b'"'}
 
-TOKEN = re.compile(
-    rb"""(?s)(?P<comment><!--.*?-->)|(?P<chars><!\[CDATA\[.*?\]\]>)|(?P<pi><\?.*?\?>)
-    |(?P<close></[^>]*>)
-    |(?P<open><[^!?/](?:[^"'>]|"[^"]*"|'[^']*')*>)
-    |(?P<ref>&[^;&<]*;)
-    |(?P<amp>&[^&<]*)
-    |(?P<text>[^&<]+)""",
-    re.X,
-)
+#: A start tag: to the first ``>`` outside quotes. Nothing is tried twice.
+OPEN = re.compile(rb"""<[^!?/](?:[^"'>]++|"[^"]*"|'[^']*')*+>""")
+#: What text with an ``&`` in it falls into.
+PIECE = re.compile(rb"(?P<ref>&[^;&]*;)|(?P<amp>&[^&]*)|(?P<text>[^&]+)")
 NAME = re.compile(rb"[^ \t\n\x0c\r/>]*")
-ATTRIBUTE = re.compile(rb"""[ \t\n\x0c\r]*(?P<name>[^= \t\n\x0c\r>/]*)[ \t\n\x0c\r]*(?P<value>=[ \t\n\x0c\r]*(?:"(?P<a>[^"]*)"|'(?P<b>[^']*)')?)?""")
-STOP = re.compile(rb"[ \t\n\x0c\r]*(?:[>/]|\Z)")
+ATTRIBUTE = re.compile(rb"""[ \t\n\x0c\r]*([^= \t\n\x0c\r>/]*)[ \t\n\x0c\r]*(=[ \t\n\x0c\r]*(?:"([^"]*)"|'([^']*)')?)?""")
+BRACKET = re.compile(rb"[<>]")
 
 
 def note(code: str, start: int, end: int, message: str) -> dict:
@@ -53,43 +50,48 @@ class Element:
     notes: list[dict] = field(default_factory=list)
     empty: bool = False
     lost: dict | None = None  # set if it is still open where the document ends
-    attributes: list | None = None  # once they have been read
+    attributes: dict | None = None  # once they have been read
+    repeats: list = field(default_factory=list)
 
     @property
     def span(self) -> dict:
         return {"start": self.start, "end": self.end}
 
 
-TAG_NAME = re.compile(rb"<[^ \t\n\x0c\r>/]*")
-
-
-def attributes(source: bytes, element: Element) -> list[tuple[bytes, int, int, int, int]]:
-    """(name, name's start and end, value's start and end) of a start tag."""
+def attributes(source: bytes, element: Element) -> dict[bytes, tuple[int, int]]:
+    """Where the values of a start tag's attributes are; later ones of a name are ``repeats``."""
     if element.attributes is not None:
         return element.attributes
-    at = TAG_NAME.match(source, element.start, element.tag_end).end()
-    found = element.attributes = []
-    while not STOP.match(source, at, element.tag_end):
-        m = ATTRIBUTE.match(source, at, element.tag_end)
-        if m["value"] is not None:
-            kind = "a" if m["a"] is not None else "b"
-            if m[kind] is None:
-                break
-            found.append((m["name"], *m.span("name"), *m.span(kind)))
+    last = element.tag_end
+    at = NAME.match(source, element.start + 1, last).end()
+    found = element.attributes = {}
+    while True:
+        m = ATTRIBUTE.match(source, at, last)
+        name = m[1]
+        if m.start(2) < 0:
+            if not name:  # the tag's end
+                return found
+        else:
+            span = m.span(3) if m.start(3) >= 0 else m.span(4)
+            if span[0] < 0:
+                return found
+            if name in found:
+                element.repeats.append((name, *m.span(1)))
+            else:
+                found[name] = span
         at = m.end()
-    return found
 
 
 def attribute(source: bytes, element: Element, name: str, notes: list[dict]) -> dict | None:
     """{value, span} of the first attribute of that name; repeats are noted."""
     wanted = name.encode()
-    same = [a for a in attributes(source, element) if a[0] == wanted]
-    for _, start, end, _, _ in same[1:]:
-        notes.append(note("duplicate_attribute", start, end, f"duplicate '{name}' attribute; first value wins"))
-    if not same:
+    span = attributes(source, element).get(wanted)
+    if span is None:
         return None
-    _, _, _, start, end = same[0]
-    return {"value": source[start:end].decode(), "span": {"start": start, "end": end}}
+    for other, start, end in element.repeats:
+        if other == wanted:
+            notes.append(note("duplicate_attribute", start, end, messages.REPEATED.format(name)))
+    return {"value": source[span[0] : span[1]].decode(), "span": {"start": span[0], "end": span[1]}}
 
 
 def character(reference: bytes) -> bytes | None:
@@ -107,41 +109,53 @@ def character(reference: bytes) -> bytes | None:
 def doctype_end(source: bytes, at: int) -> int:
     """Behind a ``<!DOCTYPE ...>``, whose brackets may hold further tags; -1: never."""
     depth = 0
-    for m in re.compile(rb"[<>]").finditer(source, at):
+    for m in BRACKET.finditer(source, at):
         depth += 1 if m[0] == b"<" else -1
         if not depth:
             return m.end()
     return -1
 
 
+#: Names of elements without their prefix, as they come up.
+LOCAL: dict[bytes, str] = {}
+
+
+def local(name: bytes) -> str:
+    known = LOCAL.get(name)
+    if known is None:
+        if len(LOCAL) > 10_000:
+            LOCAL.clear()
+        known = LOCAL[name] = name.split(b":", 1)[-1].decode("utf-8", "replace")
+    return known
+
+
+#: What else begins with ``<!`` or ``<?``: (beginning, end, kind).
+SECTIONS = ((b"<!--", b"-->", ""), (b"<![CDATA[", b"]]>", "chars"), (b"<?", b"?>", ""))
+
+
 def tokens(source: bytes) -> Iterator[tuple[str, int, int, str]]:
     """(kind, start, end, detail); kinds: open, empty, close, error, text, amp, ref, chars."""
     names: list[bytes] = []
-    at = 0
-    while at < len(source):
-        m = TOKEN.match(source, at)
-        if m is None:
-            if source[at : at + 2] == b"<!":
-                end = doctype_end(source, at) if source[at + 2 : at + 9].upper() == b"DOCTYPE" else 0
-                if end > 0:
-                    at = end
-                    continue
-                known = end < 0 or source.startswith((b"<!--", b"<![CDATA["), at)
-                yield "error", at, at, "malformed markup skipped, resynchronizing: malformed declaration"
-                following = -1 if known else source.find(b"<", at + 1)
-                at = len(source) if following < 0 else following
-                continue
-            yield "error", at, at, "malformed markup skipped, resynchronizing: markup never ends"
-            return
-        kind, start, at = m.lastgroup, m.start(), m.end()
-        if kind == "open":
-            name = NAME.match(source, start + 1)[0]
-            empty = source[at - 2 : at - 1] == b"/"
-            if not empty:
-                names.append(name)
-            yield "empty" if empty else "open", start, at, name.split(b":", 1)[-1].decode("utf-8", "replace")
-        elif kind == "close":
-            name = source[start + 2 : at - 1].rstrip(b" \t\n\x0c\r")
+    at, size, find = 0, len(source), source.find
+    while at < size:
+        start = find(b"<", at)
+        if start < 0:
+            start = size
+        if start > at:
+            if find(b"&", at, start) < 0:
+                yield "text", at, start, ""
+            else:
+                for m in PIECE.finditer(source, at, start):
+                    yield m.lastgroup, m.start(), m.end(), ""
+            if start == size:
+                return
+        second = source[start + 1 : start + 2]
+        if second == b"/":
+            end = find(b">", start)
+            if end < 0:
+                break
+            at = end + 1
+            name = source[start + 2 : end].rstrip(b" \t\n\x0c\r")
             opened = names.pop() if names else None
             if opened == name:
                 yield "close", start, at, ""
@@ -149,17 +163,44 @@ def tokens(source: bytes) -> Iterator[tuple[str, int, int, str]]:
                 shown = name.decode("utf-8", "replace")
                 because = f"</{shown}> closes nothing" if opened is None else f"</{shown}> where </{opened.decode('utf-8', 'replace')}> was due"
                 yield "error", start, start, f"orphan or mismatched closing tag ignored: {because}"
-        elif kind in ("text", "amp", "ref", "chars"):
-            yield kind, start, at, ""
-
-
-AMP = "dangling '&' without a terminating ';' is not a well-formed entity reference; kept as literal text"
+        elif second in (b"!", b"?"):
+            section = next((x for x in SECTIONS if source.startswith(x[0], start)), None)
+            end = find(section[1], start + len(section[0])) if section else -1
+            if end >= 0:
+                at = end + len(section[1])
+                if section[2]:
+                    yield section[2], start, at, ""
+                continue
+            if second == b"?":
+                break
+            doctype = source[start + 2 : start + 9].upper() == b"DOCTYPE"
+            at = doctype_end(source, start) if doctype else 0
+            if at > 0:
+                continue
+            yield "error", start, start, "malformed markup skipped, resynchronizing: malformed declaration"
+            at = find(b"<", start + 1) if not doctype and not section else -1
+            if at < 0:
+                return
+        else:
+            m = OPEN.match(source, start)
+            if m is None:
+                break
+            at = m.end()
+            name = NAME.match(source, start + 1)[0]
+            if source[at - 2] == 47:
+                yield "empty", start, at, local(name)
+            else:
+                names.append(name)
+                yield "open", start, at, local(name)
+    else:
+        return
+    yield "error", start, start, "malformed markup skipped, resynchronizing: markup never ends"
 
 
 def reference_note(source: bytes, kind: str, start: int, end: int) -> dict | None:
     """What is wrong with a reference or a lone ``&``, if anything."""
     if kind == "amp":
-        return note("invalid_entity", start, start + 1, AMP)
+        return note("invalid_entity", start, start + 1, messages.LONE_AMPERSAND)
     if kind == "ref" and character(source[start:end]) is None:
         return note("invalid_entity", start, end, f"unresolvable entity reference: {source[start:end].decode('utf-8', 'replace')}")
     return None
