@@ -10,7 +10,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 KEY = ("doc_id",)
+BOTH = ("mapper.statements", "mapper.fragments")
+
+#: What of a parsed row each relation needs, for ``parsing.parsed(columns=...)``.
+NEEDS = {
+    "documents": ("encoding", "dialect", "mapper.namespace"),
+    "statements": (*(f"mapper.statements.{x}" for x in ("kind", "id", "database_id.value", "param_class.value.raw", "result_class.value.raw", "result_map_ref.value", "span", "sql.union.branch_count", "sql.variants.conditions")),),
+    "fragments": ("mapper.fragments.id", "mapper.fragments.span"),
+    "variants": tuple(f"{x}.{y}" for x in BOTH for y in ("id.value", "sql")),
+    "texts": tuple(f"{x}.{y}" for x in BOTH for y in ("id.value", "sql.variants.text.text", "sql.variants.conditions", "sql.union.text.text", "sql.union.branch_count")),
+    "includes": tuple(f"{x}.{y}" for x in BOTH for y in ("id.value", "includes")),
+    "property_paths": ("mapper.statements.property_paths",),
+    "result_maps": tuple(f"mapper.result_maps.{x}" for x in ("id", "type_ref.value.raw", "extends.value", "span")),
+    "column_mappings": ("mapper.result_maps.id.value", "mapper.result_maps.mappings"),
+    "diagnostics": ("diagnostics",),
+    "qualified_names": ("mapper.namespace.value", "mapper.statements.id.value", "mapper.statements.database_id.value"),
+}
 
 
 def _named(col: str, prefix: str | None = None) -> list[Column]:
@@ -19,6 +37,7 @@ def _named(col: str, prefix: str | None = None) -> list[Column]:
 
 
 def documents(parsed: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """A row per document; rows that repeat stay. No mapper: no namespace."""
     return parsed.select(*key, "encoding", "dialect", F.col("mapper").isNotNull().alias("has_mapper"), *_named("mapper.namespace"))
 
 
@@ -27,6 +46,7 @@ def _each(parsed: DataFrame, column: str, key: tuple[str, ...], as_: str) -> Dat
 
 
 def statements(parsed: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """A row per statement in document order; documents without a mapper have none."""
     return _each(parsed, "mapper.statements", key, "s").select(
         *key,
         "ord",
@@ -43,26 +63,31 @@ def statements(parsed: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
 
 
 def fragments(parsed: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """A row per fragment with an id, in document order."""
     return _each(parsed, "mapper.fragments", key, "f").select(*key, "ord", *_named("f.id"), F.col("f.span.start").alias("span_start"), F.col("f.span.end").alias("span_end"))
 
 
-def _owners(parsed: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """Statements and fragments as owners: one pass, one row each."""
+def _owners(parsed: DataFrame, key: tuple[str, ...], *fields: str) -> DataFrame:
+    """Statements and fragments as owners: one pass, one row each, with those fields."""
     part = lambda kind, column: F.transform(
-        F.coalesce(column, F.array()), lambda x, i: F.struct(F.lit(kind).alias("owner"), i.alias("owner_ord"), x["id"]["value"].alias("owner_id"), x["sql"].alias("sql"), x["includes"].alias("includes"))
+        F.coalesce(column, F.array()), lambda x, i: F.struct(F.lit(kind).alias("owner"), i.alias("owner_ord"), x["id"]["value"].alias("owner_id"), *[x[f].alias(f) for f in fields])
     )
     both = F.concat(part("statement", F.col("mapper.statements")), part("fragment", F.col("mapper.fragments")))
     return parsed.filter("mapper IS NOT NULL").select(*key, F.explode(both).alias("o")).select(*key, "o.*")
 
 
-def variants(parsed: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """One row a variant; the union of an owner with too many is one row too."""
+def variants(parsed: DataFrame, key: tuple[str, ...] = KEY, marks: bool = True) -> DataFrame:
+    """One row a variant; the union of an owner with too many is one row too.
+
+    Without ``marks`` there is no ``span_map``, and what ``NEEDS["texts"]`` names will do.
+    """
     union = F.col("sql.union")
     alone = F.array(F.struct(union["text"].alias("text"), F.array().cast("array<string>").alias("conditions")))
     rows = F.when(union.isNotNull(), alone).otherwise(F.col("sql.variants"))
     kind = F.when(union.isNotNull(), "union").otherwise("variants")
-    rows = _owners(parsed, key).select(*key, "owner", "owner_ord", "owner_id", kind.alias("sql_kind"), union["branch_count"].alias("branch_count"), F.posexplode(rows).alias("variant_ord", "v"))
-    return rows.select(*key, "owner", "owner_ord", "owner_id", "variant_ord", "sql_kind", "branch_count", F.col("v.text.text").alias("text"), "v.conditions", F.col("v.text.span_map").alias("span_map"))
+    rows = _owners(parsed, key, "sql").select(*key, "owner", "owner_ord", "owner_id", kind.alias("sql_kind"), union["branch_count"].alias("branch_count"), F.posexplode(rows).alias("variant_ord", "v"))
+    last = [F.col("v.text.span_map").alias("span_map")] if marks else []
+    return rows.select(*key, "owner", "owner_ord", "owner_id", "variant_ord", "sql_kind", "branch_count", F.col("v.text.text").alias("text"), "v.conditions", *last)
 
 
 def span_map(parsed: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
@@ -70,7 +95,8 @@ def span_map(parsed: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
 
 
 def includes(parsed: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    rows = _owners(parsed, key).select(*key, "owner", "owner_ord", "owner_id", F.posexplode("includes").alias("ord", "i"))
+    """A row per include of a statement or fragment, by place; targets as written there."""
+    rows = _owners(parsed, key, "includes").select(*key, "owner", "owner_ord", "owner_id", F.posexplode("includes").alias("ord", "i"))
     aim = "i.value.target"
     return rows.select(
         *key,
@@ -88,22 +114,26 @@ def includes(parsed: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
 
 
 def property_paths(parsed: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """A row per property path of a statement, in the order they were met."""
     rows = _each(parsed, "mapper.statements", key, "s").select(*key, F.col("ord").alias("owner_ord"), F.posexplode("s.property_paths").alias("ord", "p"))
     return rows.select(*key, "owner_ord", "ord", F.col("p.value").alias("path"), F.col("p.span.start").alias("path_start"), F.col("p.span.end").alias("path_end"))
 
 
 def result_maps(parsed: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """A row per result map with an id."""
     return _each(parsed, "mapper.result_maps", key, "r").select(
         *key, "ord", *_named("r.id"), F.col("r.type_ref.value.raw").alias("type_ref"), F.col("r.extends.value").alias("extends"), F.col("r.span.start").alias("span_start"), F.col("r.span.end").alias("span_end")
     )
 
 
 def column_mappings(parsed: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """A row per column of a result map, nested ones in document order."""
     rows = _each(parsed, "mapper.result_maps", key, "r").select(*key, F.col("ord").alias("map_ord"), F.col("r.id.value").alias("map_id"), F.posexplode("r.mappings").alias("ord", "m"))
     return rows.select(*key, "map_ord", "map_id", "ord", "m.column", "m.property")
 
 
 def diagnostics(parsed: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """A row per diagnostic; some have no place."""
     return _each(parsed, "diagnostics", key, "d").select(*key, "ord", "d.code", F.col("d.span.start").alias("span_start"), F.col("d.span.end").alias("span_end"), "d.message")
 
 
@@ -126,6 +156,7 @@ def duplicate_ids(stated: DataFrame, scope: tuple[str, ...] = KEY) -> DataFrame:
 
 
 def missing_ids(stated: DataFrame) -> DataFrame:
+    """Statements without an id."""
     return stated.filter("id IS NULL")
 
 
@@ -135,27 +166,56 @@ def dangling_includes(included: DataFrame, fragment: DataFrame, scope: tuple[str
     return included.filter("target_kind = 'local'").join(known, [*scope, "target_id"], "left_anti")
 
 
-def include_closure(included: DataFrame, scope: str = "doc_id", deepest: int = 64) -> DataFrame:
-    """(scope, owner, owner_ord, target_id, depth): fragments reached, by recursion.
+def include_closure(included: DataFrame, scope: str = "doc_id") -> DataFrame:
+    """(scope, owner, owner_ord, owner_id, target_id, depth): fragments that an owner reaches.
 
-    A path stops where it would come back to itself.
+    ``depth`` is that of the shortest way. Each step joins what the last one
+    reached anew with the fragments' own includes and leaves out what was
+    reached before, so a lattice costs its pairs and not its ways, and a cycle
+    ends by itself, at whatever depth. Local includes alone lead on.
     """
-    spark = included.sparkSession
-    included.filter("target_kind = 'local'").select(F.col(scope).alias("k"), "owner", "owner_ord", "owner_id", "target_id").distinct().createOrReplaceTempView("__include_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE reach(k, owner, owner_ord, target_id, depth, path) AS (
-          SELECT k, owner, owner_ord, target_id, 1, array(target_id) FROM __include_edges
-          UNION ALL
-          SELECT r.k, r.owner, r.owner_ord, e.target_id, r.depth + 1, array_append(r.path, e.target_id)
-          FROM reach r JOIN __include_edges e ON e.k = r.k AND e.owner = 'fragment' AND e.owner_id = r.target_id
-          WHERE NOT array_contains(r.path, e.target_id) AND r.depth < {deepest}
-        )
-        SELECT k AS {scope}, owner, owner_ord, target_id, min(depth) AS depth FROM reach GROUP BY ALL""")
+    keys = ["k", "owner", "owner_ord", "target_id"]
+    local = written(included.filter("target_kind = 'local'").select(F.col(scope).alias("k"), "owner", "owner_ord", "owner_id", "target_id").distinct(), "include-edges")
+    step = local.filter("owner = 'fragment'").select("k", F.col("owner_id").alias("target_id"), F.col("target_id").alias("next")).distinct()
+    reached = written(local.withColumn("depth", F.lit(1)), "include-reach")
+    last, depth = reached, 1
+    while not last.isEmpty():
+        depth += 1
+        found = last.join(step, ["k", "target_id"]).select("k", "owner", "owner_ord", "owner_id", F.col("next").alias("target_id")).distinct()
+        last = written(found.join(reached.select(*keys), keys, "left_anti").withColumn("depth", F.lit(depth)), "include-step")
+        reached = reached.unionByName(last)
+    return reached.withColumnRenamed("k", scope)
+
+
+def include_tree(included: DataFrame, fragment: DataFrame, scope: str = "doc_id") -> DataFrame:
+    """(scope, owner, owner_ord, source, raw, target_id, depth, label) of every include that an owner reaches.
+
+    ``source`` is the fragment that it is in, null for the owner's own. Labels:
+    ``external`` (qualified) and ``dynamic`` targets, ``unresolved`` (no such
+    fragment), ``cycle`` (leads back to where the way came from), else
+    ``fragment``.
+    """
+    reach = written(include_closure(included, scope), "include-closure")
+    edges = included.select(scope, "owner", "owner_ord", "owner_id", "raw", "target_kind", "target_id").distinct()
+    own = edges.select(scope, "owner", "owner_ord", "owner_id", F.lit(None).cast("string").alias("source"), F.lit(0).alias("before"), "raw", "target_kind", "target_id")
+    inner = edges.filter("owner = 'fragment'").select(scope, F.col("owner_id").alias("source"), "raw", "target_kind", F.col("target_id").alias("next"))
+    deeper = reach.select(scope, "owner", "owner_ord", "owner_id", F.col("target_id").alias("source"), F.col("depth").alias("before")).join(inner, [scope, "source"])
+    every = own.unionByName(deeper.withColumnRenamed("next", "target_id"))
+    known = fragment.select(scope, F.col("id").alias("target_id"), F.lit(True).alias("known")).distinct()
+    # Back to the source from its target, and the target is no farther from the owner.
+    back = reach.filter("owner = 'fragment'").select(scope, F.col("owner_id").alias("target_id"), F.col("target_id").alias("source"), F.lit(True).alias("back")).distinct()
+    at = reach.select(scope, "owner", "owner_ord", "target_id", F.col("depth").alias("first"))
+    rows = every.join(known, [scope, "target_id"], "left").join(back, [scope, "target_id", "source"], "left").join(at, [scope, "owner", "owner_ord", "target_id"], "left")
+    itself = (F.col("owner") == "fragment") & (F.col("owner_id") == F.col("target_id"))
+    cycle = itself | (F.col("back") & (F.col("first") <= F.col("before")))
+    label = F.when(F.col("target_kind") == "qualified", "external").when(F.col("target_kind") == "dynamic", "dynamic")
+    label = label.when(F.col("known").isNull(), "unresolved").when(cycle, "cycle").otherwise("fragment")
+    return rows.select(scope, "owner", "owner_ord", "source", "raw", "target_id", (F.col("before") + 1).alias("depth"), label.alias("label"))
 
 
 def dump(parsed: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """Statements with their variants; conditions joined, ``always`` for none."""
-    v = variants(parsed, key).filter("owner = 'statement'")
+    v = variants(parsed, key, False).filter("owner = 'statement'")
     when = F.when(F.size("conditions") > 0, F.array_join("conditions", " && ")).otherwise("always")
     return v.select(*key, F.col("owner_ord").alias("ord"), F.col("owner_id").alias("id"), "variant_ord", "sql_kind", when.alias("condition"), "text")
 
@@ -177,16 +237,63 @@ def qualified_names(parsed: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     return rows.filter("s.id IS NOT NULL").select(*key, "ord", F.concat(F.concat_ws(".", "ns", "s.id.value"), F.coalesce(at, F.lit(""))).alias("qualified"))
 
 
-def substituted(owner_variants: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Statement texts with each include token replaced by each variant of its fragment.
+#: An include in flattened text; the group is its refid (fixed value: the token's form).
+TOKEN = r"/\* batis:include\((.*?)\) \*/"
+
 
-    One level, within a document, for tokens with a local target; texts whose
-    fragment is unknown stay as they are.
+def _filled(rows: DataFrame, closed: DataFrame, key: str) -> DataFrame:
+    """Texts with every token of a closed fragment replaced, one token a step.
+
+    A fragment's variant is taken where conditions that the text's owner knows
+    too hold in both or in neither; its other conditions join the text's.
+    """
+    names = closed.groupBy(key).agg(F.collect_set("owner_id").alias("__names"))
+    made, work, spent = None, rows, []
+    while True:
+        open_ = F.filter(F.regexp_extract_all("text", F.lit(TOKEN), 1), lambda t: F.coalesce(F.array_contains("__names", t), F.lit(False)))
+        work = written(work.join(names, key, "left").withColumn("__next", F.get(open_, F.lit(0))).drop("__names"), "substituted")
+        spent.append(work)
+        done = work.filter("__next IS NULL").drop("__next")
+        made = done if made is None else made.unionByName(done)
+        work = work.filter("__next IS NOT NULL")
+        if work.isEmpty():
+            return made
+        part = closed.select(F.col(key).alias("__k"), F.col("owner_id").alias("__f"), F.col("text").alias("__text"), F.col("conditions").alias("__c"), F.col("known").alias("__known"))
+        shared = F.array_intersect("known", "__known")
+        agree = F.size(F.array_except(F.array_intersect("conditions", shared), "__c")) + F.size(F.array_except(F.array_intersect("__c", shared), "conditions")) == 0
+        joined = work.join(part, (F.col(key) == F.col("__k")) & (F.col("__next") == F.col("__f")) & agree)
+        whole = F.concat(F.lit("/* batis:include("), F.col("__next"), F.lit(") */"))
+        more = F.concat("conditions", F.array_except("__c", "conditions"))
+        changed = {"text": F.replace("text", whole, F.col("__text")), "conditions": more, "known": F.array_union("known", "__known")}
+        work = joined.withColumns(changed).drop("__k", "__f", "__text", "__c", "__known", "__next")
+
+
+def substituted(owner_variants: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Statement texts with include tokens replaced by their fragments' variants.
+
+    Within a document, for all tokens of a text and fragments within fragments:
+    fragments that include none are closed, then those that include closed ones
+    alone, and so on. Fragments that lead back to themselves never are; their
+    tokens stay, as do those without a fragment here. Where a fragment's variants
+    go with different states, a text becomes several. Edges of wrappers are not
+    trimmed again (see ``include_at_wrapper_boundary``).
     """
-    frag = owner_variants.filter("owner = 'fragment'").select(F.col(key).alias("__k"), F.col("owner_id").alias("__f"), F.col("text").alias("__text"), F.col("conditions").alias("__c"))
-    token = F.regexp_extract("text", r"/\* batis:include\(([^)]*)\) \*/", 1)
-    rows = owner_variants.filter("owner = 'statement'").withColumn("__id", token)
-    joined = rows.join(frag, (F.col(key) == F.col("__k")) & (F.col("__id") == F.col("__f")), "left")
-    whole = F.concat(F.lit("/* batis:include("), F.col("__id"), F.lit(") */"))
-    text = F.when(F.col("__text").isNotNull(), F.replace("text", whole, F.col("__text"))).otherwise(F.col("text"))
-    return joined.select(key, "owner_ord", "owner_id", "variant_ord", text.alias("text"), F.concat("conditions", F.coalesce("__c", F.array().cast("array<string>"))).alias("conditions"))
+    columns = [key, "owner", "owner_ord", "owner_id", "variant_ord", "text", "conditions"]
+    owner = [key, "owner", "owner_ord"]
+    known = owner_variants.groupBy(*owner).agg(F.array_distinct(F.flatten(F.collect_list("conditions"))).alias("known"))
+    rows = written(owner_variants.select(*columns).join(known, owner), "owner-variants")
+    left = rows.filter("owner = 'fragment' AND owner_id IS NOT NULL")
+    names = left.groupBy(key).agg(F.collect_set("owner_id").alias("__own"))
+    tokens = F.regexp_extract_all("text", F.lit(TOKEN), 1)
+    inside = left.join(names, key).select(key, "owner_id", F.explode(F.array_intersect(tokens, "__own")).alias("on")).distinct()
+    waits = written(inside, "fragment-needs")
+    closed = written(left.join(waits.select(key, "owner_id").distinct(), [key, "owner_id"], "left_anti"), "closed-fragments")
+    while True:
+        have = closed.select(key, F.col("owner_id").alias("on")).distinct()
+        stuck = waits.join(have, [key, "on"], "left_anti").select(key, "owner_id").distinct()
+        ready = left.join(waits.select(key, "owner_id").distinct(), [key, "owner_id"]).join(stuck, [key, "owner_id"], "left_anti")
+        ready = written(ready.join(closed.select(key, "owner_id").distinct(), [key, "owner_id"], "left_anti"), "ready-fragments")
+        if ready.isEmpty():
+            break
+        closed = written(closed.unionByName(_filled(ready, closed, key)), "closed-fragments")
+    return _filled(rows.filter("owner = 'statement'"), closed, key).select(key, "owner_ord", "owner_id", "variant_ord", "text", "conditions")

@@ -1,5 +1,7 @@
 """The parse step and the relations on small corpora."""
 
+import json
+
 import pytest
 
 from quillmap.operators.mapper import MOST_BYTES
@@ -100,3 +102,63 @@ def test_a_repeated_id_with_and_without_database(spark):
     data = [(d, o, "a", db) for d in range(3) for o in range(2) for db in (None, "x")] + [(9, 0, None, None)] * 2
     s = spark.createDataFrame(data, "doc_id long, ord int, id string, database_id string")
     assert relations.duplicate_ids(s).count() == 6 and relations.duplicate_ids(s, ()).count() == 10
+
+
+def test_only_what_is_asked_for_is_made(spark, folder):
+    docs = corpus.files(spark, folder)
+    some = parsing.parsed(docs, columns=("mapper.statements.id.value", "diagnostics.code"))
+    assert some.schema.simpleString() == "struct<doc_id:string,mapper:struct<statements:array<struct<id:struct<value:string>>>>,diagnostics:array<struct<code:string>>>"
+    for name, leaves in relations.NEEDS.items():
+        rows = parsing.parsed(docs, columns=leaves)
+        make = (lambda r: relations.variants(r, marks=False)) if name == "texts" else getattr(relations, name)
+        assert make(rows).collect() == make(parsing.parsed(docs)).drop(*([] if name != "texts" else ["span_map"])).collect()
+    with pytest.raises(ValueError):
+        parsing.parsed(docs, columns=("mapper.nothing",))
+
+
+def test_json_of_the_parse_equals_json_of_rows(spark, folder, rows):
+    docs = corpus.files(spark, folder)
+    read = lambda df: {r["doc_id"]: json.loads(r["json"]) for r in df.collect()}
+    assert read(parsing.parsed_json(docs)) == read(parsing.as_json(rows))
+    again = parsing.from_json(parsing.parsed_json(docs))
+    assert again.schema.simpleString() == rows.schema.simpleString()
+    assert sorted(map(str, again.collect())) == sorted(map(str, rows.select(*again.columns).collect()))
+
+
+def test_batches_are_cut_by_rows_and_bytes():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600))], ["k"])
+    assert [g.num_rows for g in parsing.groups(batch, [None, 0] * 300)] == [256, 256, 88]
+    sizes = [parsing.BATCH_BYTES // 2, parsing.BATCH_BYTES // 2, 1, 10 * parsing.BATCH_BYTES, 1] + [0] * 595
+    assert [g.num_rows for g in parsing.groups(batch, sizes)][:4] == [2, 1, 1, 256]
+
+
+def test_includes_of_any_shape(spark):
+    edges = [(1, "statement", 0, "s", f"f{k}", "local", None, f"f{k}") for k in (0, 1)] + [(1, "fragment", k, f"f{k}", f"f{j}", "local", None, f"f{j}") for k in range(70) for j in (k + 1, k + 2)]
+    kind = "doc_id long, owner string, owner_ord int, owner_id string, raw string, target_kind string, target_ns string, target_id string"
+    reach = relations.include_closure(spark.createDataFrame(edges + edges, kind)).filter("owner = 'statement'").collect()
+    assert {(r["target_id"], r["depth"]) for r in reach} == {(f"f{k}", 1 if k < 2 else (k + 2) // 2 if k % 2 == 0 else (k + 1) // 2) for k in range(72)}
+    none = spark.createDataFrame([], kind)
+    assert relations.include_closure(none).count() == 0
+    assert relations.include_tree(none, spark.createDataFrame([], "doc_id long, id string")).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from quillmap.plans import shared
+
+    assert shared.workspace(spark)
+
+    class Elsewhere:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.workspace(Elsewhere)
