@@ -7,12 +7,13 @@ SQL for those that SQL can express.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, lm_scoring, mixing, quality_rules, resampling, secret_scan, simhash, toxicity, url_filter, warc
-from .common import fold
+from .common import fold, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,6 +82,24 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_ABLATED = " UNION ALL ".join(
+    f"""SELECT '{p.name}' AS policy, '{r.name}' AS rule, count(*) FILTER (fail_bits & {1 << r.bit} <> 0) AS n_failed,
+      count(*) FILTER (fail_bits & {p.mask(quality_rules.RULES)} = {1 << r.bit}) AS n_only_this,
+      count(*) FILTER (fail_bits & {p.mask(quality_rules.RULES) & ~(1 << r.bit)} = 0) AS n_kept_without FROM book"""
+    for p in quality_rules.POLICIES
+    for r in quality_rules.RULES
+    if r.name in p.rules
+)
+
+
+@query("rule_ablation", f"WITH book AS ({OP7_SQL}) {_ABLATED}")
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored ledger under every policy: what each rule rejects, and rejects alone."""
+    book = written(quality_rules.ledger(table(spark, sf_dir, "documents"), keep=("doc_id",)), "rule-ledger")
+    each = [quality_rules.ablation(book, p).select(F.lit(p.name).alias("policy"), "*") for p in quality_rules.POLICIES]
+    return reduce(DataFrame.unionByName, each)
+
+
 # --------------------------------------------------------------------------- 9
 
 

@@ -40,8 +40,8 @@ CHANCE = 0.01
 BINS, BIN = 64, 0.5
 #: Distinct tokens that a task holds before it passes its counts on.
 HELD = 200_000
-#: The lexicon is fitted with so many words at most (the most certain first).
-LEXICON = 100_000
+#: Toxic texts that a feature must be in: one alone says nothing of others.
+SUPPORT = 2
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -156,16 +156,19 @@ def counted(labelled: DataFrame) -> DataFrame:
 
 
 def lexicon(counts: DataFrame) -> dict[bytes, float]:
-    """Log-odds of the features that stand out in toxic texts."""
+    """Log-odds of all features that stand out in ``SUPPORT`` toxic texts or more.
+
+    They are no more than the labelled texts have, which are what bounds them.
+    """
     texts = counts.filter(F.octet_length("word") == 0).first()
     n1, n0 = (texts["toxic"], texts["other"]) if texts else (0, 0)
     if not n1 or not n0:
         return {}
     a1, a0 = PRIOR * n1 / (n1 + n0), PRIOR * n0 / (n1 + n0)
     odds = F.log((F.col("toxic") + a1) / (F.col("other") + a0)) - math.log((n1 + PRIOR) / (n0 + PRIOR))
-    rows = counts.filter((F.col("toxic") > 1) & (F.octet_length("word") > 0)).select("word", odds.alias("odds"))
-    rows = rows.filter(F.col("odds") >= STANDS_OUT).orderBy(F.desc("odds"), "word").limit(LEXICON).collect()
-    return {bytes(r["word"]): min(MOST_ODDS, r["odds"]) for r in rows}
+    rows = counts.filter((F.col("toxic") >= SUPPORT) & (F.octet_length("word") > 0)).select("word", odds.alias("odds"))
+    found = rows.filter(F.col("odds") >= STANDS_OUT).toArrow()
+    return {w: min(MOST_ODDS, o) for w, o in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)}
 
 
 def decay(moments: list[tuple[float, int]], tokens: int) -> float:
@@ -240,7 +243,9 @@ def fitted(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2
     known = known.filter(fold(folds, F.col("doc_id")) != held_out)
     rows = docs.select("doc_id", "text").filter(fold(folds, F.col("doc_id")) != held_out)
     labelled = joined_small(rows, known, "doc_id", max_rows=1_000_000)
-    model = Model(lexicon(counted(labelled).persist()))
+    counts = counted(labelled).persist()
+    model = Model(lexicon(counts))
+    counts.unpersist()
     if model.odds:
         cells = measured(labelled, model)[1]
         hits = [(r["bin"] / 16, r["n"]) for r in cells if r["bin"] > 0]

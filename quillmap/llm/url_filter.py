@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,16 +79,21 @@ class Cascade:
     levels: list[Bloom] = field(default_factory=list)
 
     @classmethod
-    def first(cls, listed: np.ndarray, universe: int) -> Cascade:
-        """The first level; its rate lets through about as many as are listed."""
-        rate = min(0.5, max(1e-9, len(listed) / max(1, universe)))
+    def first(cls, listed: np.ndarray, universe: int, stricter: int = 0) -> Cascade:
+        """The first level; its rate lets through about as many as are listed.
+
+        Each step of ``stricter`` lets an eighth as many mistaken keys through.
+        """
+        rate = min(0.5, max(1e-9, len(listed) / max(1, universe))) / 8**stricter
         return cls([Bloom.of(listed, rate, 0)] if len(listed) else [])
 
     def completed(self, listed: np.ndarray, mistaken: np.ndarray) -> Cascade:
-        """``mistaken``: all hashes of the universe that level one errs on."""
-        if len(np.intersect1d(listed, mistaken)):
-            raise ValueError("two keys share a hash; take another seed")
-        inside, outside = listed, mistaken
+        """``mistaken``: all hashes of the universe that level one errs on.
+
+        A hash that a listed key shares is no mistake that levels could tell;
+        who asks compares the keys.
+        """
+        inside, outside = listed, np.setdiff1d(mistaken, listed)
         while len(outside):
             level = Bloom.of(outside, 0.25, len(self.levels))
             self.levels.append(level)
@@ -153,7 +159,8 @@ def built(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, seed: in
 
     The universe stays distributed: it is counted, then tested against level
     one, whose rate lets about as many keys through as there are rules; only
-    those reach the driver, after a count that holds them to a bound.
+    those reach the driver, after a count that holds them to a bound. Where
+    chance lets more through, level one is made stricter until it does not.
     """
     spark = pages.sparkSession
     universe = keyed(pages.select(url), rules, seed, url).select(F.explode(F.arrays_zip("__keys", "__hashes")).alias("x")).select(F.col("x.__hashes").alias("h"))
@@ -161,21 +168,21 @@ def built(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, seed: in
     kinds = sorted({v for _, v in rules})
     listed_rows = spark.createDataFrame([(r, v) for r, v in rules] or [("", "")], "rule string, verdict string").select("verdict", F.xxhash64(F.lit(seed), "rule").alias("h")).collect()
     listed = {k: np.array(sorted({x["h"] for x in listed_rows if x["verdict"] == k}), np.int64) for k in kinds}
-    cascades = {k: Cascade.first(listed[k], size) for k in kinds}
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False)
-            kept = np.zeros(len(h), bool)
-            for c in cascades.values():
-                kept |= c.has(h)
-            yield pa.RecordBatch.from_arrays([pa.array(h[kept])], ["h"])
-
-    through = universe.mapInArrow(hits, "h long").distinct()
     bound = 10_000 + 64 * len(rules)
-    got = through.limit(bound + 1).collect()
-    if len(got) > bound:
-        raise ValueError(f"level one lets more than {bound} keys through")
+    for stricter in range(64):
+        cascades = {k: Cascade.first(listed[k], size, stricter) for k in kinds}
+
+        def hits(batches: Iterator[pa.RecordBatch], cascades=cascades) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h = batch.column(0).to_numpy(zero_copy_only=False)
+                kept = np.zeros(len(h), bool)
+                for c in cascades.values():
+                    kept |= c.has(h)
+                yield pa.RecordBatch.from_arrays([pa.array(h[kept])], ["h"])
+
+        got = universe.mapInArrow(hits, "h long").distinct().limit(bound + 1).collect()
+        if len(got) <= bound:
+            break
     seen = np.array(sorted(x["h"] for x in got), np.int64)
     for k in kinds:
         mistaken = np.setdiff1d(seen[cascades[k].has(seen)], listed[k])
@@ -196,6 +203,7 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, default
     names = rows.columns
     work = keyed(rows, rules, seed, url)
     schema = ", ".join(f"`{c}` {t}" for c, t in work.drop("__keys", "__hashes").dtypes) + ", rule string, verdict string"
+    listed = {kind: pa.array([r for r, v in rules if v == kind], pa.string()) for kind in cascades}
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,6 +213,8 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, default
             rule, verdict = np.full(batch.num_rows, -1, np.int64), np.full(batch.num_rows, default, object)
             for kind, cascade in cascades.items():
                 at = np.flatnonzero(cascade.has(flat))
+                # The cascade knows hashes; a key that only shares a rule's is none.
+                at = at[pc.is_in(texts.take(pa.array(at)), value_set=listed[kind]).to_numpy(zero_copy_only=False)]
                 row = np.searchsorted(starts, at, side="right") - 1
                 row, first = np.unique(row, return_index=True)
                 at = at[first]
