@@ -295,6 +295,18 @@ def test_links_span_the_same_components(spark, parts, radius, tile_rows):
     assert label == brute_components(values, radius)
 
 
+def test_groups_find_similar_sets():
+    """Of sets with a similarity of 0.8, hardly one in 500 shares no group; unlike ones share none."""
+    r = np.random.default_rng(9)
+    shared = 0
+    for _ in range(300):
+        both, one, other = r.integers(0, 2**63, 240).astype(np.uint64), r.integers(0, 2**63, 30).astype(np.uint64), r.integers(0, 2**63, 30).astype(np.uint64)
+        a, b = simhash.groups_of(np.concatenate([both, one])), simhash.groups_of(np.concatenate([both, other]))
+        shared += any(x == y for x, y in zip(a, b, strict=True))
+        assert not set(simhash.groups_of(one)) & set(simhash.groups_of(other))
+    assert shared >= 296
+
+
 def test_one_of_each(spark, odd, none):
     base = prose(1, 400).split()
     rows = [(10 + k, " ".join(base[:k] + ["changed"] + base[k + 1 :])) for k in range(3, 30, 3)] + [(50 + k, prose(50 + k, 400)) for k in range(20)]
@@ -365,8 +377,9 @@ def test_cascade_is_exact_over_its_universe():
     assert c.size_bytes < 3000 * 4
     empty = url_filter.Cascade.first(listed[:0], 10).completed(listed[:0], others[:0])
     assert not empty.has(others).any()
-    with pytest.raises(ValueError, match="seed"):
-        url_filter.Cascade.first(listed, 10).completed(listed, listed[:1])
+    shared = url_filter.Cascade.first(listed, 10).completed(listed, np.concatenate([listed[:1], others[:9]]))
+    assert shared.has(listed).all() and not shared.has(others[:9]).any()  # a key that shares a hash is told by its text
+    assert len(url_filter.Cascade.first(listed, 10, 3).levels[0].bits) > 3 * len(url_filter.Cascade.first(listed, 10).levels[0].bits)
 
 
 def test_urls(spark):

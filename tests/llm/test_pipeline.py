@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quillmap.llm import decontamination, quality_rules, secret_scan
 from quillmap.llm.common import written
@@ -72,3 +74,15 @@ def test_empty(spark, small, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{small}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_take_odd_rows(spark, odd, none, small):
+    docs = odd.withColumn("lang", F.lit(None).cast("string"))
+    n = docs.count()
+    for (name, stage), least in zip(corpus_pipeline.STAGES, (2, 5, n, n, 3), strict=True):
+        got = stage(spark, docs, small)
+        assert got.columns[:5] == list(corpus_pipeline.COLUMNS)
+        assert least <= got.count() <= 2 * n, name
+        assert stage(spark, none.withColumn("lang", F.lit("")), small).count() == 0, name
+    near = corpus_pipeline.near_duplicates(spark, docs, small).collect()
+    assert sorted(r["doc_id"] for r in near if r["doc_id"] is not None) == [1, 2, 5, 6, 8, 9] and sum(r["doc_id"] is None for r in near) == 1
