@@ -170,20 +170,8 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
         label = merged(label, a[picks], b[picks])
 
 
-def forests(count: int, n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Indices of so many forests, each of the links that those before it left."""
-    left, chosen = np.arange(len(i)), [np.zeros(0, np.int64)]
-    for _ in range(count):
-        if not len(left):
-            break
-        picks = left[forest(n, i[left], j[left], d[left])]
-        chosen.append(picks)
-        left = np.setdiff1d(left, picks, assume_unique=True)
-    return np.concatenate(chosen)
-
-
-def compared(left: np.ndarray, right: np.ndarray, same: bool, radius: int, wide_radius: int | None = None, count: int = 1, roots: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spanning forests of the links of two tiles: values and distances.
+def compared(left: np.ndarray, right: np.ndarray, same: bool, radius: int, wide_radius: int | None = None, roots: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of the links of two tiles: values and distances.
 
     Tiles have a row for each fingerprint and a column for each of its words.
     All pairs of first words are compared; what is within ``radius`` there is
@@ -192,7 +180,7 @@ def compared(left: np.ndarray, right: np.ndarray, same: bool, radius: int, wide_
 
     With ``roots`` the last two columns have each row's node, which is given in
     place of its first word, and what the node is known to be linked to: rows of
-    one root make no link. A node that has links outside the forests is then
+    one root make no link. A node that has links outside the forest is then
     given with the least node of its component here and distance -1.
     """
     name = -2 if roots else 0
@@ -211,7 +199,7 @@ def compared(left: np.ndarray, right: np.ndarray, same: bool, radius: int, wide_
         i, j, d = (np.concatenate(x) for x in zip((i, j, d), *held, strict=True))
         held.clear()
         waiting = 0
-        keep = forests(count, len(both), i, j, d)
+        keep = forest(len(both), i, j, d)
         lost = np.ones(len(i), bool)
         lost[keep] = False
         cut[i[lost]] = cut[j[lost]] = True
@@ -255,15 +243,14 @@ def counts_within(parts: int, radius: int) -> list[tuple[int, ...]]:
     return [x for x in found if x >= (0,) * parts]
 
 
-def linked(fps: DataFrame, radius: int = 2, parts: int = 4, tile_rows: int = 4096, wide_radius: int | None = None, count: int = 1, root: str | None = None, group: str | None = None) -> DataFrame:
+def linked(fps: DataFrame, radius: int = 2, parts: int = 4, tile_rows: int = 4096, wide_radius: int | None = None, root: str | None = None, group: str | None = None) -> DataFrame:
     """(a, b, distance): links that span all components of distinct ``fp``.
 
     With ``wide_radius`` a link also has no more differing bits than that over
-    ``fp`` and the words in ``more`` together. ``count`` disjoint forests of each
-    tile pair's links are given, for where a link may yet be discarded. With
-    ``root``, a column of longs, rows that share it are not linked, links are of
-    ``node`` in place of ``fp``, which may then repeat, and rows of distance -1
-    tell which nodes have links outside the forests (see :func:`compared`).
+    ``fp`` and the words in ``more`` together. With ``root``, a column of longs,
+    rows that share it are not linked, links are of ``node`` in place of ``fp``,
+    which may then repeat, and rows of distance -1 tell which nodes have links
+    outside the forests (see :func:`compared`).
 
     Exact: fingerprints that differ in ``radius`` bits or fewer end in one
     component. ``parts``: into how many parts of equal width the population
@@ -319,7 +306,7 @@ def linked(fps: DataFrame, radius: int = 2, parts: int = 4, tile_rows: int = 409
         for batch in batches:
             for k in range(batch.num_rows):
                 sides = [batch.column(c)[k].values.to_numpy().view(np.uint64).reshape(n, -1) for c in (0, 1) if (n := batch.column(c + 2)[k].as_py())]
-                a, b, d = compared(sides[0], sides[-1], batch.column(4)[k].as_py(), radius, wide_radius, count, root is not None)
+                a, b, d = compared(sides[0], sides[-1], batch.column(4)[k].as_py(), radius, wide_radius, root is not None)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(d.astype(np.int32))], ["a", "b", "distance"])
 
@@ -337,46 +324,119 @@ def shingles(text: Column, size: int) -> Column:
     return let(words(F.translate(text_or_empty(text), UPPER, LOWER)), made)
 
 
+def sets_of(nodes: DataFrame, docs: DataFrame, first: DataFrame, size: int) -> DataFrame:
+    """(node, s): the shingle sets of distinct nodes.
+
+    ``first`` has (node, key): the row of ``docs`` (with its ``key``) that stands
+    for a node.
+    """
+    texts = joined_small(docs.select("key", "text"), written(nodes.join(first, "node"), "simhash-nodes"), "key").dropDuplicates(["node"])
+    return written(texts.select("node", shingles(F.col("text"), size).alias("s")), "simhash-shingles")
+
+
 def verified(links: DataFrame, docs: DataFrame, first: DataFrame, size: int, similarity: float) -> DataFrame:
     """Links between texts whose shingle sets have that Jaccard similarity.
 
-    ``first`` has (node, key): the row of ``docs`` (with its ``key``) that stands
-    for a node. Two texts without words are alike.
+    Two texts without words are alike.
     """
     links = written(links, "simhash-candidates")
-    nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct().join(first, "node")
-    texts = joined_small(docs.select("key", "text"), written(nodes, "simhash-nodes"), "key").dropDuplicates(["node"])
-    sets = written(texts.select("node", shingles(F.col("text"), size).alias("s")), "simhash-shingles")
+    nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    sets = sets_of(nodes, docs, first, size)
     pair = links.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return pair.filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b", "distance")
 
 
-def verified_links(fps: DataFrame, docs: DataFrame, first: DataFrame, size: int, similarity: float, radius: int, tile_rows: int, wide_radius: int, count: int) -> DataFrame:
+#: Shingles of a tile of sets; a set counts for so many more, so rows are bounded too.
+SHINGLES, EACH = 1 << 21, 256
+
+
+def verified_forest(words: np.ndarray, side: np.ndarray, root: np.ndarray, flat: np.ndarray, sizes: np.ndarray, similarity: float, radius: int, wide_radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and distances of candidates that have the similarity and span all such.
+
+    ``flat`` has the rows' shingle sets one after the other. Rows of one root are
+    joined already. If there are two sides, only pairs across them are looked at.
+    """
+    kinds, ids = np.unique(flat, return_inverse=True)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    label = np.unique(root, return_inverse=True)[1]
+    across = len(np.unique(side)) > 1
+    mark = np.zeros(len(kinds), bool)
+    found: list[tuple[int, int, int]] = []
+    for i in range(len(sizes) - 1):
+        near = (np.bitwise_count(words[i + 1 :, 0] ^ words[i, 0]) <= radius) & (label[i + 1 :] != label[i])
+        if across:
+            near &= side[i + 1 :] != side[i]
+        j = np.flatnonzero(near) + i + 1
+        off = np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64)
+        may = (off <= wide_radius) & (np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i]))
+        j, off = j[may], off[may]
+        if not len(j):
+            continue
+        mine = ids[begins[i] : ends[i]]
+        mark[mine] = True
+        upto = np.concatenate([[0], np.cumsum(mark[np.concatenate([ids[begins[k] : ends[k]] for k in j])])])
+        mark[mine] = False
+        last = np.cumsum(sizes[j])
+        both = upto[last] - upto[last - sizes[j]]
+        good = both >= similarity * (sizes[i] + sizes[j] - both)
+        for k, d in zip(j[good], off[good], strict=True):
+            if label[k] != label[i]:
+                label[label == label[k]] = label[i]
+                found.append((i, k, d))
+    return tuple(np.array(found, np.int64).reshape(-1, 3).T)
+
+
+def verified_in_tiles(rows: DataFrame, sets: DataFrame, similarity: float, radius: int, wide_radius: int) -> DataFrame:
+    """(a, b, distance): links of the similarity that span all candidates' components.
+
+    ``rows`` have node, root, fp, more and the group they are compared in (at).
+    Each candidate whose ends no link joins yet is held to its shingle sets where
+    the tiles meet; nothing but a spanning forest leaves a pair of tiles. A group
+    beyond a tile's shingles is dealt into several, so no task holds more than two.
+    """
+    heavy = rows.join(sets, "node")
+    weight = F.ceil(F.sum(F.size("s") + EACH) / SHINGLES).cast("int")
+    per = written(rows.join(sets.select("node", "s"), "node").groupBy("at").agg(weight.alias("chunks"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "simhash-weights")
+    placed = joined_small(heavy, per, "at").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = met.select("at", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "root", "fp", "more", "s")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        chunk, node, root, fp = (table[c].to_numpy() for c in ("chunk", "node", "root", "fp"))
+        more, s = (pa.concat_arrays(table[c].chunks) for c in ("more", "s"))
+        i = j = d = np.zeros(0, np.int64)
+        # Of two tiles one may be empty; then there is no pair across them.
+        if table["low"][0].equals(table["high"][0]) or len(np.unique(chunk)) > 1:
+            words = np.concatenate([fp[:, None], more.flatten().to_numpy().reshape(len(fp), -1)], axis=1).view(np.uint64)
+            i, j, d = verified_forest(words, chunk, root, s.flatten().to_numpy(), s.value_lengths().to_numpy().astype(np.int64), similarity, radius, wide_radius)
+        return pa.table([pa.array(node[i]), pa.array(node[j]), pa.array(d.astype(np.int32))], ["a", "b", "distance"])
+
+    return met.groupBy("at", "low", "high").applyInArrow(compare, "a long, b long, distance int")
+
+
+def verified_links(fps: DataFrame, docs: DataFrame, first: DataFrame, size: int, similarity: float, radius: int, tile_rows: int, wide_radius: int) -> DataFrame:
     """Verified links that join all candidates which have the similarity.
 
-    Of each tile pair's candidates ``count`` forests are verified, nearest
-    first. Where candidates outside them may join what the verified links leave
-    apart, their ends alone are compared again, for eight times as many forests,
-    until no candidate between two components is left that was not verified.
+    Of each tile pair's candidates a forest is verified, nearest first. Where
+    candidates outside it may join what the verified links leave apart, their
+    ends alone meet again, with their shingle sets, and every candidate between
+    two components is verified there (see :func:`verified_in_tiles`).
     """
-    spark = fps.sparkSession
-    known = spark.createDataFrame([], "a long, b long, distance int")
     grouped = fps.select("node", "fp", "more", F.explode("groups").alias("at"))
-    rows = grouped.withColumn("root", F.col("node"))
-    while True:
-        made = written(linked(rows, radius, 1, tile_rows, wide_radius, count, "root", "at"), "simhash-links")
-        known = written(known.unionByName(verified(made.filter("distance >= 0").dropDuplicates(["a", "b"]), docs, first, size, similarity)), "simhash-verified")
-        cut = made.filter("distance < 0").select(F.col("a").alias("node"), F.col("b").alias("near")).distinct()
-        if cut.isEmpty():
-            return known
-        cut = written(classes(cut.select("node").distinct(), known, "node").join(cut, "node"), "simhash-cut")
-        apart = cut.groupBy("near").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("near")
-        again = joined_small(cut, written(apart, "simhash-apart"), "near").select("node", "root").distinct()
-        rows = written(again.join(grouped, "node"), "simhash-again")
-        if rows.isEmpty():
-            return known
-        count *= 8
+    made = written(linked(grouped.withColumn("root", F.col("node")), radius, 1, tile_rows, wide_radius, "root", "at"), "simhash-links")
+    known = written(verified(made.filter("distance >= 0").dropDuplicates(["a", "b"]), docs, first, size, similarity), "simhash-verified")
+    cut = made.filter("distance < 0").select(F.col("a").alias("node"), F.col("b").alias("near")).distinct()
+    if cut.isEmpty():
+        return known
+    cut = written(classes(cut.select("node").distinct(), known, "node").join(cut, "node"), "simhash-cut")
+    apart = cut.groupBy("near").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("near")
+    again = written(joined_small(cut, written(apart, "simhash-apart"), "near").select("node", "root").distinct(), "simhash-again")
+    rows = again.join(grouped, "node")
+    more = verified_in_tiles(rows, sets_of(again.select("node"), docs, first, size), similarity, radius, wide_radius)
+    return known.unionByName(written(more, "simhash-verified"))
 
 
 def classes(fps: DataFrame, links: DataFrame, of: str = "fp") -> DataFrame:
@@ -401,7 +461,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, parts: int
     return rows.join(of.join(by_root, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 17, width: int = 4, wide_radius: int = 54, tile_rows: int = 8192, count: int = 1) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 17, width: int = 4, wide_radius: int = 54, tile_rows: int = 8192) -> DataFrame:
     """One row of each group of near-duplicates: least doc_id, nulls last.
 
     Only texts of one group are compared (see :func:`groups_of`): those that
@@ -428,7 +488,7 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, radius:
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("key").alias("key"), F.col("fp").alias("fp"), F.col("more").alias("more"), F.col("groups").alias("groups"))
     nodes = written(rows.groupBy("node").agg(F.min(order).alias("first")), "distinct-sets")
     known = nodes.select("node", "first.fp", "first.more", "first.groups")
-    links = verified_links(known, keyed, nodes.select("node", F.col("first.key").alias("key")), size, similarity, radius, tile_rows, wide_radius, count)
+    links = verified_links(known, keyed, nodes.select("node", F.col("first.key").alias("key")), size, similarity, radius, tile_rows, wide_radius)
     of = classes(nodes, links, "node")
     stays = of.join(nodes, "node").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
     return keyed.select("key", "row").join(stays, "key").dropDuplicates(["key"]).select("row.*")

@@ -478,3 +478,27 @@ def test_seek_table_form():
     assert (n, flags, magic) == (2, 0, 0x8F92EAB1)
     table = warc.seek_table(out)
     assert [t[2] for t in table] == [11, 11] and warc.frame(out, table[1]) == b"ab" + b"c" * 9
+
+
+@pytest.mark.parametrize(("shingles", "each"), [(1 << 21, 256), (400, 1)])
+def test_candidates_verified_in_tiles_equal_brute_force(spark, monkeypatch, shingles, each):
+    """In one tile and in many, with ends that are joined already, sets of a few shingles and of none."""
+    monkeypatch.setattr(simhash, "SHINGLES", shingles)
+    monkeypatch.setattr(simhash, "EACH", each)
+    r = random.Random(5)
+    base = [r.sample(range(-(2**40), 2**40), 60) for _ in range(3)]
+    sets = [sorted({*b[: 60 - r.randrange(14)], *r.sample(range(2**41, 2**42), r.randrange(6))}) for b in base for _ in range(25)] + [[], [1], [1, 2]]
+    rows = [(k, 0 if k < 4 else k, 0, [0, 0, 0], 7) for k in range(len(sets))]
+    nodes = spark.createDataFrame(rows, "node long, root long, fp long, more array<long>, at long")
+    kept = spark.createDataFrame(list(enumerate(sets)), "node long, s array<long>")
+    links = simhash.verified_in_tiles(nodes, kept, 0.8, 17, 54).collect()
+    alike = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))
+    assert links and all(alike(x["a"], x["b"]) and x["distance"] == 0 for x in links)
+    joined, want = ({k: min(k, rows[k][1]) for k in range(len(sets))} for _ in range(2))
+    for label, pairs in ((joined, [(x["a"], x["b"]) for x in links]), (want, [(a, b) for a in range(len(sets)) for b in range(a) if alike(a, b)])):
+        for _ in sets:
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        for k in range(4):
+            label[k] = label[0] = min(label[k], label[0])
+    assert joined == want
